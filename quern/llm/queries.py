@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, packing, quality_crf, toxicity
+from quern.llm import bpe, langid, line_frequency, packing, quality_crf, secret_scan, toxicity
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,13 +29,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op5_toxicity, op9_language)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op5_toxicity, op7_line_frequency, op9_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_frequency": line_frequency.ORACLE_SQL, "op10_secrets": secret_scan.oracle_sql()}
