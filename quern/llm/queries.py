@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, line_frequency, packing, quality_crf, secret_scan, toxicity
+from quern.llm import bpe, langid, line_frequency, packing, quality_crf, secret_scan, simhash, toxicity
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,12 +37,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op5_toxicity, op7_line_frequency, op9_language, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op5_toxicity, op7_line_frequency, op8_simhash, op9_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
