@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, line_frequency, packing, quality_crf, secret_scan, simhash, toxicity
+from quern.llm import bpe, jaccard_join, langid, line_frequency, packing, quality_crf, secret_scan, simhash, toxicity
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.digest(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op5_toxicity, op7_line_frequency, op8_simhash, op9_language, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op5_toxicity, op6_jaccard, op7_line_frequency, op8_simhash, op9_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
