@@ -30,17 +30,26 @@ OPEN_WINDOWS = 16
 MIN_PIECE = 8
 MERGE_WIDTH = 32
 #: Distinct words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _PIECES = pa.schema([(c, pa.int64()) for c in COLUMNS] + [("part", pa.int64()), ("ids", pa.binary())])
 PIECES_DDL = ", ".join(f"{c} long" for c in COLUMNS) + ", part long, ids binary"
 
 #: Spaces beyond ASCII, and controls that Python splits at but the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Latin letters that have one lower-case form, then plain marks.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!|]*)")
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in printable else next(spare)) for b in range(256)]
+
+
 class WordIds:
     """Ids of a text as little-endian 32-bit bytes, each distinct word encoded once.
 
@@ -52,15 +61,35 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.merges = self.model.tokenize
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, part: str) -> bytes:
+        """Ids of lower-case letters or of marks: one pre-token, so the merges alone are left to do."""
+        shown = "".join(map(self.letters.__getitem__, part.encode()))
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.merges(shown)])
+        self.parts[part] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Letters and the marks after them are split before any merge, and case is dropped."""
+        if m := _PLAIN.fullmatch(word):
+            core, marks = m[1].lower(), m[2]
+            return (self.parts.get(core) or self._encode(core)) + (self.parts.get(marks) or self._encode(marks) if marks else b"")
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [_CHUNK.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, encode = self.known, self.tokenizer.encode
-        for w in set().union(*words) - known.keys():
-            known[w] = b"".join(i.to_bytes(4, "little") for i in encode(w, add_special_tokens=False).ids)
+            self.parts.clear()
+        known = self.known
+        for w in set().union(*words):
+            if w not in known:
+                known[w] = self._word(w)
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
