@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, jaccard_join, langid, line_frequency, packing, quality_crf, secret_scan, simhash, toxicity
+from quern.llm import bpe, jaccard_join, langid, line_frequency, packing, quality_crf, secret_scan, simhash, suffix_dedup, toxicity
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op5_toxicity, op6_jaccard, op7_line_frequency, op8_simhash, op9_language, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op4_suffixes, op5_toxicity, op6_jaccard, op7_line_frequency, op8_simhash, op9_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
