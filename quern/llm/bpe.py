@@ -2,11 +2,12 @@
 
 1. Each scan partition is cut into blocks of bounded text. A block's pre-tokens are exploded
    with their positions: position i of a document holds the block's code of that word.
-   Codes are numbered by frequency and kept in one to four bytes.
-2. The words of all blocks are shuffled by the word, so that equal words meet; each distinct
-   word is encoded once, its ids decoded through the token-byte table (fixed, about 50,000
-   rows), and both are sent back to the blocks that hold it.
-3. In a block, ids are joined to the positions and the document is put together in order.
+   Codes are numbered by first appearance and kept in one to four bytes.
+2. The words of all blocks are shuffled by a hash of the word (a row holds a block's words of
+   one bucket), so that equal words meet; each distinct word is encoded once and its ids are
+   sent back to the blocks that hold it.
+3. In a block, ids are joined to the positions, bytes to the ids by the token-byte table
+   (fixed, about 50,000 rows), and the document is put together in order.
 
 Only words of a block and codes move, never texts. The cut into blocks follows the order of
 rows in a scan partition, which is the same for both passes over the table.
@@ -20,24 +21,31 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections import Counter
+import re
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points of text in a block; bounds the memory of a Python worker.
-BLOCK_CHARS = 24_000_000
+from quern.llm.common import slices
 
-_WORDS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("word", pa.string())])
+#: Pre-tokens in a block; bounds the memory of a Python worker.
+BLOCK_TOKENS = 6_000_000
+
+#: Buckets of words for each shuffle partition; bounds the words that a task holds at once.
+BUCKETS_EACH = 8
+
+_WORDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
 _CODES = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary())])
-_BACK = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("ids", pa.string()), ("n", pa.int32()), ("decoded", pa.binary())])
+_BACK = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-WORDS_DDL = "block long, code int, word string"
+WORDS_DDL = "block long, bucket int, codes binary, sizes binary, words binary"
 CODES_DDL = "block long, row int, doc_id long, codes binary"
-BACK_DDL = "block long, code int, ids string, n int, decoded binary"
+BACK_DDL = "block long, codes binary, counts binary, ids binary"
 OUT_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -54,8 +62,8 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=token_bytes(path), special_tokens={})
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """Codes below 2**28 as one to four bytes: seven bits each, the high bit says that more follow."""
+def pack_codes(codes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Packed bytes, and where each code ends. Codes below 2**28 as one to four bytes: seven bits each, the high bit says that more follow."""
     codes = codes.astype(np.uint32)
     width = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21)
     ends = np.cumsum(width)
@@ -64,7 +72,7 @@ def pack_codes(codes: np.ndarray) -> bytes:
     for k in range(4):
         has = width > k
         out[starts[has] + k] = ((codes[has] >> np.uint32(7 * k)) & 127) | ((width[has] > k + 1) << 7)
-    return out.tobytes()
+    return out.tobytes(), ends
 
 
 def unpack_codes(packed: bytes) -> np.ndarray:
@@ -79,85 +87,156 @@ def unpack_codes(packed: bytes) -> np.ndarray:
     return codes
 
 
-def _blocks(source: Iterator[pa.RecordBatch], pattern: str, block_chars: int):
-    """(block, doc_ids, pre-tokens of each document, codes of the words)."""
+def _cut(packed: bytes, ends: np.ndarray, cuts: list[int]) -> pa.Array:
+    """Packed codes from each cut to the next, as rows."""
+    at = np.concatenate(([0], ends))[cuts].tolist()
+    return pa.array([packed[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+
+
+#: The classes of the common pattern where a text has only ASCII and Latin letters.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_SPACE = " \\t\\n\\x0b\\x0c\\r"
+_BEYOND = re.compile(f"[^\\x00-\\x7f{_LATIN}]").search
+_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^{_SPACE}{_LATIN}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+#: The pattern that _PLAIN is the same as on such texts.
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def splitter(pattern: str):
+    """text -> pre-tokens. Texts of ASCII and Latin letters take a faster engine."""
     import regex
+
+    slow = regex.compile(pattern).findall
+    if pattern != COMMON_PATTERN:
+        return slow
+    return lambda text: slow(text) if _BEYOND(text) else _PLAIN(text)
+
+
+class _Codes(dict):
+    """Words numbered as they first appear, so that frequent ones get short codes."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        return code
+
+
+def _blocks(source: Iterator[pa.RecordBatch], pattern: str, block_tokens: int):
+    """(block, codes of its words, whether it ends, doc_ids, their words' codes) for each slice of rows."""
     from pyspark import TaskContext
 
-    split = regex.compile(pattern).findall
-    base = TaskContext.get().partitionId() << 24
-    ids: list = []
-    words: list[list[str]] = []
-    counts: Counter = Counter()
-    size = n = 0
+    split = splitter(pattern)
+    block = TaskContext.get().partitionId() << 24
+    words, size, first = _Codes(), 0, 0
     for batch in source:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = split(text or "")
-            ids.append(doc_id)
-            words.append(own)
-            counts.update(own)
-            size += len(text or "")
-            if size >= block_chars:
-                yield base + n, ids, words, {w: k for k, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
-                ids, words, counts, size, n = [], [], Counter(), 0, n + 1
-    if ids:
-        yield base + n, ids, words, {w: k for k, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
-
-
-def _words(pattern: str, block_chars: int):
+        for piece in slices(batch, 64):
+            own = [list(map(words.__getitem__, split(t or ""))) for t in piece.column(1).to_pylist()]
+            size += sum(map(len, own))
+            ends = size >= block_tokens
+            yield block, words, ends, first, piece.column(0), own
+            first += len(own)
+            if ends:
+                block, words, size, first = block + 1, _Codes(), 0, 0
+    if words:
+        yield block, words, True, first, pa.array([], pa.int64()), []
+
+
+def _words(pattern: str, block_tokens: int, buckets: int):
+    """The distinct words of each block, in a row for each bucket of words that it has any of."""
+
     def run(source):
-        for block, _, _, codes in _blocks(source, pattern, block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), block)), pa.array(np.arange(len(codes), dtype=np.int32)), pa.array(list(codes), pa.string())], schema=_WORDS)
+        for block, words, ends, *_ in _blocks(source, pattern, block_tokens):
+            if not ends:
+                continue
+            raw = [w.encode() for w in words]
+            bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % np.uint32(buckets)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+            cuts = np.append(first, len(raw)).tolist()
+            sizes, size_ends = pack_codes(np.fromiter(map(len, raw), np.uint32, len(raw))[order])
+            codes, code_ends = pack_codes(order)
+            raw = [raw[k] for k in order.tolist()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(first), block)), pa.array(bucket[order][first].astype(np.int32)),
+                _cut(codes, code_ends, cuts), _cut(sizes, size_ends, cuts), pa.array([b"".join(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+            ], schema=_WORDS)
 
     return run
 
 
-def _codes(pattern: str, block_chars: int):
+def _codes(pattern: str, block_tokens: int):
     def run(source):
-        for block, ids, words, codes in _blocks(source, pattern, block_chars):
-            packed = [pack_codes(np.fromiter(map(codes.__getitem__, own), np.uint32, len(own))) for own in words]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], schema=_CODES)
+        for block, _, _, first, ids, own in _blocks(source, pattern, block_tokens):
+            if own:
+                sizes = np.fromiter(map(len, own), np.int64, len(own))
+                packed, ends = pack_codes(np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())))
+                cuts = [0, *np.cumsum(sizes).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(first, first + len(own), dtype=np.int32)), ids, _cut(packed, ends, cuts)], schema=_CODES)
 
     return run
 
 
 def _encode_words(path: str, pattern: str):
-    """Rows come sorted by word: each distinct word is encoded and decoded once."""
+    """Rows come sorted by bucket: each distinct word is met in one bucket and encoded once."""
 
     def run(source):
         encode = encoder(path, pattern)._core_bpe.encode_single_piece
-        table = {rank: token for token, rank in token_bytes(path).items()}
-        last = now = None
+        packed, ends = pack_codes(np.arange(max(token_bytes(path).values()) + 1))
+        cut = [0, *ends.tolist()]
+        each = [packed[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        last, known = None, {}
         for batch in source:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    ids = encode(word.encode())
-                    last, now = word, (" ".join(map(str, ids)), len(ids), b"".join(map(table.__getitem__, ids)))
-                out.append(now)
-            ids, n, decoded = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.string()), pa.array(n, pa.int32()), pa.array(decoded, pa.binary())], schema=_BACK)
+            counts, found = [], []
+            for bucket, sizes, words in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                at, own = 0, []
+                for size in unpack_codes(sizes).tolist():
+                    word = words[at : at + size]
+                    at += size
+                    ids = known.get(word)
+                    if ids is None:
+                        tokens = encode(word)
+                        ids = known[word] = (len(tokens), b"".join([each[i] for i in tokens]))
+                    own.append(ids)
+                counts.append(pack_codes(np.fromiter((n for n, _ in own), np.uint32, len(own)))[0])
+                found.append(b"".join([ids for _, ids in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.binary()), pa.array(found, pa.binary())], schema=_BACK)
 
     return run
 
 
-def _reassemble(codes: pa.Table, words: pa.Table) -> pa.Table:
-    order = np.argsort(words.column("code").to_numpy())
-    ids = np.array(words.column("ids").to_pylist(), object)[order]
-    decoded = np.array(words.column("decoded").to_pylist(), object)[order]
-    n = words.column("n").to_numpy()[order]
-    rows = []
-    for doc_id, packed in zip(codes.column("doc_id").to_pylist(), codes.column("codes").to_pylist(), strict=True):
-        at = unpack_codes(packed)
-        rows.append((doc_id, int(n[at].sum()), hashlib.sha256(" ".join(ids[at]).encode()).hexdigest(), hashlib.sha256(b"".join(decoded[at])).hexdigest()))
-    columns = list(zip(*rows, strict=True)) or [[] for _ in _OUT]
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _OUT, strict=True)], schema=_OUT)
+def _reassemble(path: str):
+    """Joins ids and, by the token-byte table, bytes to the positions of a block's documents."""
+
+    def run(codes: pa.Table, words: pa.Table) -> pa.Table:
+        table = token_bytes(path)
+        said_one, bytes_one = np.empty(max(table.values()) + 1, object), np.empty(max(table.values()) + 1, object)
+        for token, rank in table.items():
+            said_one[rank], bytes_one[rank] = str(rank), token
+        code, count, ids = (unpack_codes(b"".join(words.column(c).to_pylist())) for c in ("codes", "counts", "ids"))
+        ends = np.cumsum(count).tolist()
+        starts = [0, *ends[:-1]]
+        said, decoded, n = np.empty(len(code), object), np.empty(len(code), object), np.empty(len(code), np.int64)
+        own = said_one[ids].tolist()
+        said[code] = np.array([" ".join(own[a:b]) for a, b in zip(starts, ends, strict=False)] + [None], object)[:-1]
+        own = bytes_one[ids].tolist()
+        decoded[code] = np.array([b"".join(own[a:b]) for a, b in zip(starts, ends, strict=False)] + [None], object)[:-1]
+        n[code] = count
+        rows = []
+        for doc_id, packed in zip(codes.column("doc_id").to_pylist(), codes.column("codes").to_pylist(), strict=True):
+            at = unpack_codes(packed)
+            rows.append((doc_id, int(n[at].sum()), hashlib.sha256(" ".join(said[at].tolist()).encode()).hexdigest(), hashlib.sha256(b"".join(decoded[at].tolist())).hexdigest()))
+        columns = list(zip(*rows, strict=True)) or [[] for _ in _OUT]
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _OUT, strict=True)], schema=_OUT)
+
+    return run
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
     texts = docs.select("doc_id", "text")
-    codes = texts.mapInArrow(_codes(pattern, block_chars), CODES_DDL)
-    words = texts.mapInArrow(_words(pattern, block_chars), WORDS_DDL)
-    encoded = words.repartition(F.col("word")).sortWithinPartitions("word").mapInArrow(_encode_words(ranks, pattern), BACK_DDL)
-    return codes.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble, OUT_DDL)
+    buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    codes = texts.mapInArrow(_codes(pattern, block_tokens), CODES_DDL)
+    words = texts.mapInArrow(_words(pattern, block_tokens, buckets), WORDS_DDL)
+    encoded = words.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks, pattern), BACK_DDL)
+    return codes.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble(ranks), OUT_DDL)
