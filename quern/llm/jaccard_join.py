@@ -402,6 +402,19 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return full.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without all but the smallest id of each component, and one row for each id.
+
+    Rows without an id stay. Only ids that go, or that come more than once, are joined.
+    """
+    gone = settle(join(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    twice = settle(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"))
+    gone, twice = (F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids for ids in (gone, twice))
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    once = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
+    return once.unionByName(kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+
+
 def _members(source):
     schema = pa.schema([("block", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64())])
     for batch in source:

@@ -359,3 +359,18 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the learning folds, then scores every row of docs."""
     return score(docs, learn(docs, labels))
+
+
+def _clean(net: Network | None, at: int):
+    def run(source):
+        scorer = Scorer(net)
+        for batch in source:
+            for piece in slices(batch, 128):
+                yield piece.filter(pa.array(scorer(piece.column(at).to_pylist()) < 0.5))
+
+    return run
+
+
+def reject(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
+    """The rows of docs whose whole text isn't predicted toxic, with all their columns."""
+    return docs.mapInArrow(_clean(net, docs.columns.index(text)), docs.schema)
