@@ -175,13 +175,13 @@ def retrieve_rate(h: DataFrame, retrieves: DataFrame) -> DataFrame:
 
 
 def token_rate(h: DataFrame, samples: int = 10) -> DataFrame:
-    """Tokens a call over the last samples of a session, and calls until the window is full."""
+    """Tokens a call over the last samples of a session, and calls until the window is full (-1: never)."""
     along = Window.partitionBy("session_id").orderBy("ts", "id")
     used = F.sum("filtered_tokens").over(along.rowsBetween(Window.unboundedPreceding, 0))
     rows = h.withColumn("used", used).withColumn("first_used", F.first("used").over(along.rowsBetween(-(samples - 1), 0))).withColumn("n", F.least(F.row_number().over(along), F.lit(samples)))
     slope = F.when(F.col("n") > 1, F.floor((F.col("used") - F.col("first_used")) / (F.col("n") - 1))).otherwise(0)
     left = F.greatest(F.lit(K.PRESSURE_WINDOW) - F.col("used"), F.lit(0))
-    return rows.withColumn("rate", slope).select("id", "session_id", "used", "rate", F.when(F.col("rate") > 0, F.floor(left / F.col("rate"))).alias("calls_left"))
+    return rows.withColumn("rate", slope).select("id", "session_id", "used", "rate", F.when(F.col("rate") > 0, F.floor(left / F.col("rate"))).otherwise(-1).alias("calls_left"))
 
 
 def pressure(h: DataFrame) -> DataFrame:

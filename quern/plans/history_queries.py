@@ -159,7 +159,7 @@ _USED = "sum(filtered_tokens) OVER (PARTITION BY session_id ORDER BY ts, id ROWS
 @query(f"""{_W}, u AS (SELECT id, session_id, ts, {_USED} FROM history),
 f AS (SELECT *, first_value(used) OVER w AS f, least(row_number() OVER (PARTITION BY session_id ORDER BY ts, id), 10) AS n FROM u WINDOW w AS (PARTITION BY session_id ORDER BY ts, id ROWS 9 PRECEDING)),
 r AS (SELECT *, CASE WHEN n > 1 THEN (used - f) // (n - 1) ELSE 0 END AS rate FROM f)
-SELECT id, session_id, used, rate, CASE WHEN rate > 0 THEN greatest({K.PRESSURE_WINDOW} - used, 0) // rate END AS calls_left FROM r""")
+SELECT id, session_id, used, rate, CASE WHEN rate > 0 THEN greatest({K.PRESSURE_WINDOW} - used, 0) // rate ELSE -1 END AS calls_left FROM r""")
 def token_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.token_rate(history(spark, sf_dir))
 
