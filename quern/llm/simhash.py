@@ -21,12 +21,13 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD_GAP
+from quern.llm.common import WORD_GAP, settle
 
 BITS = 64
 MAX_WEIGHT = 8
@@ -34,6 +35,8 @@ MAX_WEIGHT = 8
 CHUNK_WORDS = 1 << 17
 RANGES = 64
 BUCKET_ROWS = 1000
+#: Heads of buckets that may be broadcast: 24 bytes each.
+BROADCAST_HEADS = 200_000
 RADIUS = 3
 BLOCKS = 6
 
@@ -69,8 +72,9 @@ def following(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     order = sorted(lowest)
     above = {no: lowest[order[(k + 1) % len(order)]] for k, no in enumerate(order)}
     goes_to = F.coalesce(F.lead("bucket").over(Window.partitionBy("range").orderBy("bucket")), _looked_up(above, 0))
-    heads = heads.select("bucket", "head", goes_to.alias("goes_to"))
-    copies = dealt.select("bucket", "doc_id", "text").join(heads, "bucket").where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("goes_to", "doc_id").agg(F.max("text").alias("text"))
+    heads = settle(heads.select("bucket", "head", goes_to.alias("goes_to")))
+    few = heads.count() <= BROADCAST_HEADS
+    copies = dealt.select("bucket", "doc_id", "text").join(F.broadcast(heads) if few else heads, "bucket").where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("goes_to", "doc_id").agg(F.max("text").alias("text"))
     both = dealt.select("bucket", F.lit(0).alias("halo"), "doc_id", "text").unionByName(copies.select(F.col("goes_to").alias("bucket"), F.lit(1).alias("halo"), "doc_id", "text"))
     along = Window.partitionBy("bucket").orderBy("halo", F.desc("doc_id"), F.desc("text"))
     return both.select("bucket", F.row_number().over(along).alias("place"), "halo", "doc_id", "text", F.lead("text").over(along).alias("next_text"))
@@ -83,16 +87,16 @@ def _lanes(h: str, first: int) -> str:
     return "(" + " | ".join(lanes) + ")"
 
 
-def fingerprints(texts: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """key (a long), fingerprint (a long) of each text; keys must be unique."""
-    words = texts.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), WORD_GAP)).alias("pos", "word"))
-    votes = words.selectExpr("key", f"pos div {CHUNK_WORDS} AS chunk", "xxhash64(word) AS h", f"cast(least(char_length(word), {MAX_WEIGHT}) AS bigint) AS w")
-    groups = range(0, BITS, 3)
-    packed = votes.groupBy("key", "chunk").agg(F.sum("w").alias("total"), *[F.expr(f"sum(w * {_lanes('h', a)})").alias(f"v{a}") for a in groups])
-    lanes = packed.select("key", "total", *[F.expr(f"shiftrightunsigned(v{b - b % 3}, {21 * (b % 3)}) & 2097151L").alias(f"b{b}") for b in range(BITS)])
-    sums = lanes.groupBy("key").agg(F.sum("total").alias("total"), *[F.sum(f"b{b}").alias(f"b{b}") for b in range(BITS)])
+def fingerprints(texts: DataFrame, key: str = "key", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key (a long), fingerprint (a long) and the numbers in `carry` of each text; keys must be unique."""
+    words = texts.select(F.col(key).alias("key"), *carry, F.posexplode(F.split(F.col(text), WORD_GAP)).alias("pos", "word"))
+    votes = words.selectExpr("key", *carry, f"pos div {CHUNK_WORDS} AS chunk", "xxhash64(word) AS h", f"cast(least(char_length(word), {MAX_WEIGHT}) AS bigint) AS w")
+    own = [F.max(c).alias(c) for c in carry]
+    packed = votes.groupBy("key", "chunk").agg(*own, F.sum("w").alias("total"), *[F.expr(f"sum(w * {_lanes('h', a)})").alias(f"v{a}") for a in range(0, BITS, 3)])
+    lanes = packed.select("key", *carry, "total", *[F.expr(f"shiftrightunsigned(v{b - b % 3}, {21 * (b % 3)}) & 2097151L").alias(f"b{b}") for b in range(BITS)])
+    sums = lanes.groupBy("key").agg(*own, F.sum("total").alias("total"), *[F.sum(f"b{b}").alias(f"b{b}") for b in range(BITS)])
     signed = _balanced([f"if(2 * b{b} > total, shiftleft(1L, {b}), 0L)" for b in range(BITS)], lambda a, b: f"({a} | {b})")
-    return sums.select("key", F.expr(signed).alias("fingerprint"))
+    return sums.select("key", *carry, F.expr(signed).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,20 +113,32 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.left(text, F.char_length(text) - half), F.left(next_text, half))
 
 
+def _as_long(digits: Column) -> Column:
+    """16 hex digits as a signed long; hexed() gives them back."""
+    x = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    half = F.lit(Decimal(1 << 63))
+    return F.when(x >= half, x - half - half).otherwise(x).cast("long")
+
+
 def compare(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = following(docs, bucket_rows)
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Texts are shuffled once, to meet their next; what else the result needs of a document goes
+    along with its votes as numbers, the SHA-256 as four.
+    """
     key = (F.col("bucket") + 1) * (1 << 32) + F.col("place") * 2
-    pairs = rows.select("bucket", "place", "halo", "doc_id", "text", F.when(F.col("halo") == 0, edited(F.col("text"), F.col("next_text"))).alias("edited"), key.alias("key"))
-    both = pairs.select(F.inline(F.array(F.struct(F.col("key").alias("key"), F.col("text").alias("text")), F.struct((F.col("key") + 1).alias("key"), F.col("edited").alias("text"))))).where(F.col("text").isNotNull())
+    rows = following(docs, bucket_rows).select("halo", "doc_id", "text", F.when(F.col("halo") == 0, edited(F.col("text"), F.col("next_text"))).alias("edited"), key.alias("key"))
+    sha = [f"sha{k}" for k in range(4)]
+    rows = rows.withColumn("sha", F.sha2("edited", 256)).withColumns({c: _as_long(F.substring("sha", 16 * k + 1, 16)) for k, c in enumerate(sha)} | {"n_chars": F.char_length("text").cast("long")}).drop("sha")
+    info = ("halo", "doc_id", "n_chars", *sha)
+    texts = F.inline(F.array(F.struct(F.col("key").alias("own"), F.col("text").alias("body")), F.struct((F.col("key") + 1).alias("own"), F.col("edited").alias("body"))))
+    both = rows.select(*info, texts).where(F.col("body").isNotNull())
+    prints = fingerprints(both, "own", "body", info)
     odd = F.pmod(F.col("key"), F.lit(2))
-    prints = fingerprints(both).select((F.col("key") - odd).alias("key"), odd.alias("of"), "fingerprint")
-    prints = prints.groupBy("key").agg(F.max(F.when(F.col("of") == 0, F.col("fingerprint"))).alias("a"), F.max(F.when(F.col("of") == 1, F.col("fingerprint"))).alias("b"))
-    narrow = pairs.select("bucket", "place", "halo", "doc_id", "key", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    joined = narrow.join(prints, "key")
-    ahead = F.lead("a").over(Window.partitionBy("bucket").orderBy("place"))
-    return joined.withColumn("next", ahead).where("halo = 0").select(
-        "doc_id", "n_chars", "edited_sha256", hexed(F.col("a")).alias("fingerprint"), hexed(F.col("b")).alias("edited_fingerprint"),
+    pairs = prints.groupBy((F.col("key") - odd).alias("key")).agg(*[F.max(c).alias(c) for c in info], F.max(F.when(odd == 0, F.col("fingerprint"))).alias("a"), F.max(F.when(odd == 1, F.col("fingerprint"))).alias("b"))
+    ahead = F.lead("a").over(Window.partitionBy(F.shiftright("key", 32)).orderBy("key"))
+    return pairs.withColumn("next", ahead).where("halo = 0").select(
+        "doc_id", "n_chars", F.concat(*[hexed(F.col(c)) for c in sha]).alias("edited_sha256"), hexed(F.col("a")).alias("fingerprint"), hexed(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next")).alias("near_next"),
     )
 
