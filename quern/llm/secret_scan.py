@@ -194,7 +194,7 @@ def feature_columns(candidate: Column, before: Column, path: Column) -> dict[str
     }
     return {
         "length": n, "digits": n - without(candidate, "[0-9]"), "uppers": n - without(candidate, "[A-Z]"), "lowers": n - without(candidate, "[a-z]"),
-        "changes": F.length(kinds) - 1, "distinct": F.size(F.array_distinct(F.split(candidate, "(?!^)"))), "covered": F.floor((n - without(low, _DICT)) * 100 / n).cast("int"),
+        "changes": F.length(kinds) - 1, "distinct": F.size(F.array_distinct(F.regexp_extract_all(candidate, F.lit("."), F.lit(0)))), "covered": F.floor((n - without(low, _DICT)) * 100 / n).cast("int"),
     } | {k: v.cast("int") for k, v in flags.items()}
 
 
@@ -285,7 +285,7 @@ WITH split AS (
 ), features AS (
   SELECT doc_id, k, gap, run, regexp_matches(run, '{LIVELY}') AS lively, length(run) AS length,
     length(run) - {left("run", "[0-9]")} AS digits, length(run) - {left("run", "[A-Z]")} AS uppers, length(run) - {left("run", "[a-z]")} AS lowers,
-    length({kinds}) - 1 AS changes, len(list_distinct(string_split(run, ''))) AS "distinct",
+    length({kinds}) - 1 AS changes, len(list_distinct(regexp_extract_all(run, '.'))) AS "distinct",
     (100 * (length(run) - {left("lower(run)", _DICT)})) // length(run) AS covered,
     regexp_matches(run, '^([0-9a-f]+|[0-9A-F]+)$')::INT AS hex, regexp_matches(run, '{_PREFIX}')::INT AS prefix,
     (regexp_matches(near, '[=:]\\s*["'']?$') OR contains(run[:-3], '='))::INT AS assigned,
