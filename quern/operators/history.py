@@ -136,7 +136,7 @@ def session_lifetime(summaries: DataFrame, compaction: str) -> DataFrame:
     own = summaries.where("total_commands > 0")
     counts = own.groupBy("total_commands").agg(F.count("*").alias("n"))
     total = own.agg(F.count("*").alias("sessions"), F.coalesce(F.max("total_commands"), F.lit(0)).alias("longest"), F.count_if(F.col("exit_reason").ilike(f"%{compaction}%")).alias("compacted"))
-    upto = counts.alias("a").join(counts.alias("b"), F.col("b.total_commands") <= F.col("a.total_commands")).groupBy(F.col("a.total_commands").alias("length")).agg(F.sum("b.n").alias("upto"))
+    upto = counts.select(F.col("total_commands").alias("length"), F.sum("n").over(Window.orderBy("total_commands")).alias("upto"))
     median = upto.crossJoin(total.select("sessions")).where(F.col("upto") >= F.floor(F.col("sessions") / 2) + 1).agg(F.min("length").alias("median"))
     return total.crossJoin(median).select("sessions", F.coalesce("median", F.lit(0)).alias("median"), "longest", "compacted")
 
@@ -168,9 +168,12 @@ def retained(h: DataFrame, now: int, days: int = K.WORKING_DAYS) -> DataFrame:
 def retrieve_rate(h: DataFrame, retrieves: DataFrame) -> DataFrame:
     """For each retrieved prefix: min(1, retrieves / max(1, commands that start with it)), ignoring case."""
     own = retrieves.groupBy("prefix").agg(F.count("*").alias("retrieves"))
-    # A few prefixes against distinct commands, not against every row.
     commands = h.groupBy(F.lower("command").alias("command")).agg(F.count("*").alias("calls"))
-    hits = own.join(commands, F.col("command").startswith(F.lower("prefix")), "left").groupBy("prefix", "retrieves").agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"))
+    # Each distinct command's beginnings of the lengths that occur, so that the join is by equality.
+    lengths = own.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    starts = commands.crossJoin(F.broadcast(lengths)).select("calls", F.explode(F.transform("lengths", lambda n: F.substring(F.col("command"), F.lit(1), n))).alias("start"), F.col("command"))  # lengths is one row
+    starts = starts.dropDuplicates(["command", "start"])
+    hits = own.join(starts, F.lower("prefix") == F.col("start"), "left").groupBy("prefix", "retrieves").agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"))
     return hits.withColumn("rate", F.round(F.least(F.lit(1.0), F.col("retrieves") / F.greatest(F.lit(1), F.col("calls"))), 6))
 
 

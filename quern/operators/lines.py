@@ -96,5 +96,5 @@ def diagnose(traces: DataFrame) -> DataFrame:
 
 def fidelity(raw: Column, reduced: Column) -> Column:
     """A payload that states a failure must still state one when reduced."""
-    states = lambda c: F.exists(text.lines(c), classify.carries_failure)
+    states = lambda c: F.exists(text.lines(c), lambda x: classify.carries_failure(x))
     return ~states(raw) | states(reduced)

@@ -143,14 +143,14 @@ def passthrough_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir).where(F.col("route").isin("Passthrough", "Rewind")).groupBy(F.col("route").alias("reason")).agg(F.count("*").alias("n"), F.sum("input_bytes").alias("bytes")).orderBy(F.desc("n"), "reason")
 
 
-_RETRIEVES = "r AS (SELECT upper(substr(command, 1, 5)) AS prefix, count(*) AS retrieves FROM history WHERE id % 20 = 0 GROUP BY 1)"
+_RETRIEVES = "r AS (SELECT upper(substr(command, 1, 5)) AS prefix, count(*) AS retrieves FROM history WHERE rewind_hash <> '' GROUP BY 1)"
 
 
 @query(f"""{_W}, {_RETRIEVES}, c AS (SELECT prefix, retrieves, (SELECT count(*) FROM history WHERE command ILIKE prefix || '%') AS calls FROM r)
 SELECT prefix, retrieves, calls, round(least(1.0::DOUBLE, retrieves / greatest(1, calls)), 6) AS rate FROM c""")
 def retrieve_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = history(spark, sf_dir)
-    return H.retrieve_rate(h, h.where("id % 20 = 0").select(F.upper(F.substring("command", 1, 5)).alias("prefix")))
+    return H.retrieve_rate(h, h.where("rewind_hash <> ''").select(F.upper(F.substring("command", 1, 5)).alias("prefix")))
 
 
 _USED = "sum(filtered_tokens) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)::BIGINT AS used"

@@ -13,7 +13,7 @@ from quern.plans.language import parse, planned
 from quern.plans.line_queries import _TIERED
 from quern.sources.views import HISTORY_SQL, LOG_SQL, history, log_lines, table
 
-_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '([\\pL\\pN]+)', 1))) AS term FROM benchmark WHERE item_id < 10),
+_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '([\\pL\\pN]+)', 1))) AS term FROM benchmark),
 s AS (SELECT doc_id, regexp_extract_all(lower(text), '([\\pL\\pN]+)', 1) AS tokens FROM documents), z AS (SELECT doc_id, len(tokens) AS size, tokens FROM s),
 w AS (SELECT count(*) AS n, avg(size) AS mean FROM z), t AS (SELECT doc_id, size, unnest(tokens) AS term FROM z),
 h AS (SELECT term, doc_id, size, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), d AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
@@ -23,7 +23,7 @@ r AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM q JOIN p USING
 
 @query(f"WITH {_BM25} SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM r) WHERE place <= 5")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return search.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), items, 5)
 
 
