@@ -22,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import settle, slices
+from quern.llm.common import give_back, settle, slices
 
 WINDOW = 2048
 END_ID = 1
 OPEN_WINDOWS = 16
 MIN_PIECE = 8
 MERGE_WIDTH = 32
-#: Distinct words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 2_000_000
+#: Distinct words, and parts of words, whose ids a Python worker remembers before it starts afresh.
+CACHE_WORDS = 1_200_000
+CACHE_PARTS = 1_000_000
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _PIECES = pa.schema([(c, pa.int64()) for c in COLUMNS] + [("part", pa.int64()), ("ids", pa.binary())])
@@ -85,6 +86,7 @@ class WordIds:
         words = [_CHUNK.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         known = self.known
         for w in set().union(*words):
@@ -185,6 +187,7 @@ def _pack_partition(tokenizer: str, window: int, open_windows: int, min_piece: i
         for fill, pieces in packer.leftovers():
             rows.emit(pieces, fill, keep_ids=True)
         yield rows.batch()
+        give_back()
 
     return run
 
