@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import classify, rules, text
+from quern.functions import classify, rules, shell, text
 from quern.operators import formats, routing
 from quern.operators import lines as L
 from quern.plans.language import Query, parse
@@ -123,3 +123,23 @@ def test_envelopes(spark):
     assert [r.agent for r in rows] == ["claude", "cursor", "codex", "jsonrpc", "aider", "unknown"]
     assert (rows[0].tool, rows[0].command, rows[0].content, rows[0].session_id) == ("Bash", "ls", "out\n[stderr]\nbad", "s1")
     assert (rows[1].command, rows[1].content) == ("a.py", "l1\nl2") and rows[2].failed and rows[3].content == "r" and rows[4].content == "plain text"
+
+
+def test_splits(say):
+    said = ["a && b; c", "echo 'x; y' && z", 'a "b \\" ; c" ; d', "a | b || c", "a & b", "x \\; y", "one\ntwo", "", 'open "never; closed']
+    assert say(shell.split_sequential, said)[:9] == [["a", "b", "c"], ["echo 'x; y'", "z"], ['a "b \\" ; c"', "d"], ["a | b", "c"], ["a & b"], ["x \\; y"], ["one", "two"], [], ['open "never; closed']]
+    assert say(shell.split_pipeline, ["a | b 'c | d' | e", "x"]) == [["a", "b 'c | d'", "e"], ["x"]]
+    assert say(shell.sole_output_command, ["cd x && A=1 make", "ls; cat y", "export A=1", "cat f | jq .x", "for f in *; do", ""]) == ["make", None, "export A=1", "jq .x", None, None]
+
+
+def test_redaction(say):
+    lines = ["API_KEY=abc", "SORT_KEY=abc", "SORT_KEY=ABC", "PASS=3/4", "PASS=hunter", "passwd=x", "export MY_TOKEN='t'", "MONKEY=Zoo", "a = b", "SECRET={x}", "COMPASS=1", "DATABASE_URL=pg://"]
+    masked = ["API_KEY=[redacted]", "SORT_KEY=abc", "SORT_KEY=[redacted]", "PASS=3/4", "PASS=[redacted]", "passwd=[redacted]", "export MY_TOKEN=[redacted]", "MONKEY=[redacted]", "a = b", "SECRET={x}", "COMPASS=[redacted]", "DATABASE_URL=[redacted]"]
+    assert say(shell.redact_line, lines) == masked
+
+
+def test_cuts(say):
+    body = "".join(f"line {k}\n" for k in range(100))
+    out = say(shell.head_tail(200), [body, "short", "é" * 300, None])
+    assert out[0].startswith("line 0\n") and out[0].endswith("line 99\n") and "lines kept" in out[0] and out[1] == "short" and "200 of 600 bytes" in out[2] and out[3] is None
+    assert say(shell.safe_slice(5), ["ééé", "abc", "abcdefgh"]) == ["éé", "abc", "abcde"]
