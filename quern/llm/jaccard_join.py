@@ -9,13 +9,16 @@ A document is the set of its five-word shingles, as 64-bit hashes; two sets link
    tokens that a bounded sample finds frequent are moved to the end of the order, which keeps
    blocks small and cannot lose a pair). Tokens are shuffled by hash buckets; a token's
    posters are a block, and equal blocks become one.
-3. Stars: in each block every member is compared with the one that leads its sizes. The
-   links found connect most copies of one text at once, by one comparison each.
-4. Trees: blocks whose members aren't all connected yet get a signature tree: nodes hold the
-   OR of their members' token bitmaps and their range of sizes. Two nodes are traversed
-   together and dropped when their sizes are too far apart, when all their members are
-   connected already, or when the bits they share allow too small an overlap. Large blocks
-   are cut into parts, and each pair of parts is its own task.
+3. Stars: in each block every member is compared with one leader: first the member that is in
+   most blocks, then one by hash. The links found connect most copies of one text at once, by
+   one comparison each.
+4. Trees: signature trees find what is left. Nodes hold the OR of their members' token bitmaps
+   and their range of sizes. Two nodes are traversed together and dropped when their sizes are
+   too far apart, when all their members are connected already, or when the bits they share
+   allow too small an overlap. A component that fills a tenth of a block is a hub: its tree is
+   traversed once with all members outside it that share a block with it, and not in each
+   block; a block has ten hubs at most. The rest of a block gets a tree of its own. Hubs,
+   their guests and blocks are cut into parts, and each pair of parts is its own task.
 5. Pairs that are left are verified on the whole sets, and components are found by rounds of
    joins.
 
@@ -34,18 +37,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import settle, slices
+from quern.llm.common import give_back, settle, slices
 from quern.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 80
 #: Documents from which frequent tokens are learnt, and how many of these are kept.
-SAMPLE_DOCS = 5000
+SAMPLE_DOCS = 12_000
 FREQUENT_AT = 4
-MOST_FREQUENT = 50_000
+MOST_FREQUENT = 100_000
+#: Only hashes below this are counted: the first fifth of a set, by hash, holds few others.
+SAMPLE_BELOW = np.uint64(3 << 61)
 #: Members of a block that one task compares with each other.
 PART = 1000
 LEAF = 16
+#: Members of one component that make it a hub of a block.
+HUB = 8
 #: Rows of ids that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 500_000
 BUCKETS_EACH = 4
@@ -82,8 +89,8 @@ def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A bit for each token, in 64-bit words: about two bits a token, a power of two in all."""
-    width = 1 << max(0, int(2 * len(tokens) - 1).bit_length() - 6)
+    """A bit for each token, in 64-bit words: 4 to 8 bits a token, a power of two in all."""
+    width = 1 << max(0, int(4 * len(tokens) - 1).bit_length() - 6)
     words = np.zeros(min(width, 1024), np.uint64)
     at = (tokens >> np.uint64(20)) % np.uint64(64 * len(words))
     np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
@@ -101,8 +108,16 @@ def _sets(source):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t).tobytes() for t in piece.column(1).to_pylist()], pa.binary())], schema=schema)
 
 
+def _signs(source):
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+    for batch in source:
+        for piece in slices(batch):
+            sets = [shingles(t) for t in piece.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() if len(x) else b"" for x in sets], pa.binary())], schema=schema)
+
+
 def _described(frequent: np.ndarray, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("prefix", pa.binary()), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("prefix", pa.binary())])
 
     def run(source):
         for batch in source:
@@ -111,8 +126,8 @@ def _described(frequent: np.ndarray, percent: int):
                 for text in piece.column(1).to_pylist():
                     s = shingles(text)
                     head = ordered(s, frequent)[: prefix_length(len(s), percent)] if len(s) else s
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), head.tobytes(), bitmap(s).tobytes() if len(s) else b""))
-                columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), head.tobytes()))
+                columns = list(zip(*rows, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, t.type) for c, t in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
     return run
@@ -122,6 +137,7 @@ def _sampled_tokens(source):
     for batch in source:
         for piece in slices(batch):
             tokens = np.concatenate([shingles(t) for t in piece.column(0).to_pylist()] + [np.empty(0, np.uint64)])
+            tokens = tokens[tokens < SAMPLE_BELOW]
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
 
 
@@ -160,93 +176,82 @@ def _postings(buckets: int):
     return run
 
 
-def _block_rows(tokens: list[bytes], docs: list[bytes]) -> dict[bytes, bytes]:
-    """The blocks of one bucket: members as (size, doc_id), ascending, by a hash of them."""
+def _block_rows(tokens: list[bytes], docs: list[bytes], percent: int) -> pa.RecordBatch:
+    """The members of one bucket's blocks: posters of one token without a gap between their sizes that no link spans.
+
+    Blocks with the same members are one, named by their hash.
+    """
     token = np.frombuffer(b"".join(tokens), np.uint64)
     own = np.frombuffer(b"".join(docs), np.int64).reshape(-1, 2)
     order = np.lexsort((own[:, 0], own[:, 1], token))
     token, own = token[order], own[order]
-    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    apart = (token[1:] != token[:-1]) | (100 * own[:-1, 1] < percent * own[1:, 1])
+    first = np.flatnonzero(np.concatenate(([True], apart)))
     size = np.diff(np.append(first, len(token)))
     found = {}
     for a, z in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        members = own[a : a + z].tobytes()
-        found[hashlib.blake2b(members, digest_size=16).digest()] = members
-    return found
+        members = own[a : a + z]
+        found[xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)] = members
+    rows = np.concatenate([*found.values(), np.empty((0, 2), np.int64)])
+    names = np.repeat(np.array(list(found), np.int64), [len(m) for m in found.values()])
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["block", "doc_id", "n"])
 
 
-def _blocks(source):
+def _blocks(percent: int):
     """Rows come sorted by bucket."""
-    schema = pa.schema([("block", pa.binary()), ("members", pa.binary())])
-
-    def flushed():
-        found = _block_rows(tokens, docs)
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], schema=schema)
-
-    last, tokens, docs = None, [], []
-    for batch in source:
-        for bucket, t, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != last and tokens:
-                yield flushed()
-                tokens, docs = [], []
-            last = bucket
-            tokens.append(t)
-            docs.append(d)
-    if tokens:
-        yield flushed()
-
-
-def _stars(percent: int):
-    """(a, b) of each member and the smallest member whose size still allows a link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(source):
+        last, tokens, docs = None, [], []
         for batch in source:
-            pairs: set[tuple[int, int]] = set()
-            for members in batch.column(0).to_pylist():
-                own = np.frombuffer(members, np.int64).reshape(-1, 2).tolist()
-                lead, size = own[0]
-                for doc_id, n in own[1:]:
-                    if 100 * size >= percent * n:
-                        if doc_id != lead:
-                            pairs.add((min(lead, doc_id), max(lead, doc_id)))
-                    else:
-                        lead, size = doc_id, n
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            for bucket, t, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last and tokens:
+                    yield _block_rows(tokens, docs, percent)
+                    tokens, docs = [], []
+                last = bucket
+                tokens.append(t)
+                docs.append(d)
+        if tokens:
+            yield _block_rows(tokens, docs, percent)
+        tokens, docs = [], []
+        give_back()
 
     return run
 
 
+def star_pairs(member: DataFrame, order, percent: int) -> DataFrame:
+    """(a, b): each member of a block and the block's first in `order`, if not connected and near enough in size."""
+    lead = member.groupBy("block").agg(F.max_by(F.struct("doc_id", "n", "label"), order).alias("lead"))
+    sizes = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    pairs = member.join(lead, "block").where(sizes & (F.col("label") != F.col("lead.label")))
+    return pairs.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
+
+
 class Node:
-    """A node of a signature tree over members sorted by size."""
+    """A node of a signature tree over members sorted by size.
 
-    __slots__ = ("bits", "high", "inner", "label", "low", "members", "slack")
+    A leaf keeps its members' sizes, ids, labels and bitmaps; `slack` bounds the tokens of a
+    member that share a bit with another of its tokens.
+    """
+
+    __slots__ = ("bits", "high", "ids", "inner", "label", "labels", "low", "maps", "sizes", "slack")
 
     def __init__(self, members: list[tuple] | None, inner: list[Node] | None):
         """members: (size, doc_id, label, bitmap) of a leaf."""
-        self.members, self.inner = members, inner
+        self.inner = inner
         if members is not None:
+            self.sizes, self.ids, self.labels = (np.array([m[k] for m in members], np.int64) for k in range(3))
             width = min(len(m[3]) for m in members)
-            maps = [folded(m[3], width) for m in members]
+            self.maps = np.stack([folded(m[3], width) for m in members])
             self.low, self.high = members[0][0], members[-1][0]
-            labels = {m[2] for m in members}
-            self.slack = max(m[0] - int(np.bitwise_count(b).sum()) for m, b in zip(members, maps, strict=True))
-            own = [self.low, self.slack]
+            self.slack = int((self.sizes - np.bitwise_count(self.maps).sum(axis=1)).max())
+            self.bits = np.bitwise_or.reduce(self.maps, axis=0)
+            self.label = members[0][2] if (self.labels == members[0][2]).all() else None
         else:
             width = min(len(n.bits) for n in inner)
-            maps = [folded(n.bits, width) for n in inner]
-            self.low, self.high = inner[0].low, max(n.high for n in inner)
-            labels = {n.label for n in inner}
-            leaves = [m for n in inner for m in n.leaf_members()]
-            self.slack = max(m[0] - int(np.bitwise_count(folded(m[3], width)).sum()) for m in leaves)
-            own = [self.low, self.slack]
-        self.low, self.slack = own
-        self.bits = np.bitwise_or.reduce(maps, axis=0)
-        self.label = labels.pop() if len(labels) == 1 else None
-
-    def leaf_members(self) -> list[tuple]:
-        return self.members if self.inner is None else [m for n in self.inner for m in n.leaf_members()]
+            self.low, self.high = inner[0].low, inner[-1].high
+            self.slack = max(n.slack if len(n.bits) == width else n.high for n in inner)
+            self.bits = np.bitwise_or.reduce([folded(n.bits, width) for n in inner], axis=0)
+            self.label = inner[0].label if all(n.label == inner[0].label for n in inner) else None
 
 
 def tree(members: list[tuple], fanout: int = 8) -> Node:
@@ -268,23 +273,32 @@ def _apart(x: Node, y: Node, percent: int) -> bool:
     return (100 + percent) * (shared + min(slack_x, slack_y)) < percent * (x.low + y.low)
 
 
+def most_shared(p: np.ndarray, q: np.ndarray, n, m):
+    """The largest overlap that bitmaps of one width allow: a bit of one that the other lacks is a token it lacks."""
+    return np.minimum(n - np.bitwise_count(p & ~q).sum(axis=-1), m - np.bitwise_count(q & ~p).sum(axis=-1))
+
+
+def _leaf_pairs(x: Node, y: Node, percent: int) -> np.ndarray:
+    width = min(len(x.bits), len(y.bits))
+    p, q = (np.bitwise_or.reduce(z.maps.reshape(len(z.ids), -1, width), axis=1) for z in (x, y))
+    n, m = x.sizes[:, None], y.sizes[None, :]
+    ok = (100 + percent) * most_shared(p[:, None], q[None], n, m) >= percent * (n + m)
+    ok &= (x.labels[:, None] != y.labels[None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (x.ids[:, None] != y.ids[None])
+    if x is y:
+        ok = np.triu(ok, 1)
+    a, b = np.nonzero(ok)
+    return np.stack([x.ids[a], y.ids[b]], axis=1)
+
+
 def traverse(x: Node, y: Node, percent: int = PERCENT):
-    """Pairs of doc_ids that may link, from two trees traversed together (or one with itself)."""
+    """Arrays of pairs of doc_ids that may link, from two trees traversed together (or one with itself)."""
     stack = [(x, y)]
     while stack:
         x, y = stack.pop()
         if _apart(x, y, percent):
             continue
         if x.inner is None and y.inner is None:
-            for k, (n, a, label, bits) in enumerate(x.members):
-                for m, b, other, more in y.members[k + 1 :] if x is y else y.members:
-                    if a == b or label == other or 100 * min(n, m) < percent * max(n, m):
-                        continue
-                    width = min(len(bits), len(more))
-                    p, q = folded(bits, width), folded(more, width)
-                    most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
-                    if (100 + percent) * most >= percent * (n + m):
-                        yield min(a, b), max(a, b)
+            yield _leaf_pairs(x, y, percent)
         elif x is y:
             stack += [(p, q) for k, p in enumerate(x.inner) for q in x.inner[k:]]
         elif y.inner is None or (x.inner is not None and x.high >= y.high):
@@ -294,22 +308,47 @@ def traverse(x: Node, y: Node, percent: int = PERCENT):
 
 
 def _tree_pairs(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """A task's members are on side 0, 1 or, for a part with itself, 0 alone."""
 
-    def run(source):
-        for batch in source:
-            pairs: set[tuple[int, int]] = set()
-            for left, right, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows = sorted(((m["n"], m["doc_id"], m["label"], np.frombuffer(m["bits"], np.uint64), m["part"]) for m in members), key=lambda m: m[:2])
-                x = tree([m[:4] for m in rows if m[4] == left])
-                y = x if left == right else tree([m[:4] for m in rows if m[4] == right])
-                pairs.update(traverse(x, y, percent))
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+    def run(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_pylist() for c in ("n", "doc_id", "label", "bits", "side")]
+        rows = sorted(zip(*columns, strict=True), key=lambda m: m[:2])
+        sides = [[(*m[:3], np.frombuffer(m[3], np.uint64)) for m in rows if m[4] == side] for side in (0, 1)]
+        trees = [tree(m) for m in sides if m]
+        pairs = np.concatenate([*traverse(trees[0], trees[-1], percent), np.empty((0, 2), np.int64)])
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
+def _tasks(member: DataFrame, part: int) -> DataFrame:
+    """task, side, doc_id: what trees are to be traversed with what (member: block, doc_id, n, label)."""
+    counts = member.groupBy("block", "label").agg(F.count("*").alias("own"))
+    sizes = counts.groupBy("block").agg(F.sum("own").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    hubs = counts.join(sizes, "block").where((F.col("own") >= HUB) & (F.col("own") * 10 >= F.col("size"))).select("block", F.col("label").alias("hub"))
+    mixed = member.join(sizes.select("block"), "block", "left_semi")
+
+    # Hubs: the whole component on one side, in parts, and its guests on the other.
+    guests = mixed.join(hubs, "block").where("label <> hub").select("hub", "doc_id").distinct()
+    guests = guests.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    many = guests.groupBy("hub").agg(F.ceil(F.count("*") / part).cast("int").alias("guest_parts"))
+    inside = member.select(F.col("label").alias("hub"), "doc_id").distinct().join(many.select("hub"), "hub", "left_semi")
+    plenty = inside.groupBy("hub").agg(F.ceil(F.count("*") / part).cast("int").alias("hub_parts")).join(many, "hub")
+    own = inside.join(plenty, "hub").select("hub", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("hub_parts")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("guest_parts") - 1)).alias("q"), F.lit(0).alias("side"))
+    visit = guests.join(plenty, "hub").select("hub", "doc_id", F.explode(F.sequence(F.lit(0), F.col("hub_parts") - 1)).alias("p"), F.pmod(F.col("part"), F.col("guest_parts")).cast("int").alias("q"), F.lit(1).alias("side"))
+    of_hubs = own.unionByName(visit).select(F.struct("hub", "p", "q").alias("task"), "side", "doc_id")
+
+    # The rest of each block, in parts by hash; equal rests are traversed once.
+    rest = mixed.join(hubs, (mixed["block"] == hubs["block"]) & (mixed["label"] == hubs["hub"]), "left_anti")
+    about = rest.groupBy("block").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("name"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("name_2")).where("low <> high")
+    about = about.groupBy("name", "name_2", "size").agg(F.min("block").alias("block")).select("block", F.ceil(F.col("size") / part).cast("int").alias("parts"))
+    rest = rest.join(about, "block").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    pairs = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    sided = rest.select("block", "doc_id", "part", pairs.alias("other")).select("block", "doc_id", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    return of_hubs.unionByName(sided.select(F.struct(F.col("block").alias("hub"), F.col("p"), F.col("q")).alias("task"), "side", "doc_id"))
+
+
 def _linked(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -326,11 +365,14 @@ def _linked(percent: int):
     return run
 
 
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ids, which are broadcast while they are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = _of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     sets = settle(texts.mapInArrow(_sets, "doc_id long, tokens binary").distinct())
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b")
@@ -346,8 +388,7 @@ def _may_link(percent: int):
             for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 width = min(len(p), len(q))
-                p, q = folded(p, width), folded(q, width)
-                most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+                most = int(most_shared(folded(p, width), folded(q, width), n, m))
                 keep.append((100 + percent) * most >= percent * (n + m))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
@@ -355,48 +396,41 @@ def _may_link(percent: int):
     return run
 
 
-def _split(part: int):
-    """Members of a block, sorted by label and size, in parts; and the pairs of parts with two labels or more."""
-
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("label", "n", "doc_id")), strict=True))
-        cut = [rows[k : k + part] for k in range(0, len(rows), part)]
-        labels = [{r[0] for r in c} for c in cut]
-        out = [(block, i, j, k, r[2]) for i in range(len(cut)) for j in range(i, len(cut)) if len(labels[i] | labels[j]) > 1 for k in {i, j} for r in cut[k]]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["block", "left", "right", "part", "doc_id"])
-
-    return run
-
-
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     docs = docs.select("doc_id", "text")
-    rows = settle(docs.mapInArrow(_described(frequent_tokens(docs), percent), "doc_id long, n long, set_hash binary, prefix binary, bits binary"))
+    rows = settle(docs.mapInArrow(_described(frequent_tokens(docs), percent), "doc_id long, n long, set_hash binary, prefix binary"))
     classes = settle(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-    reps = rows.join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
+    reps = _of(rows.where("n > 0"), classes.select(F.col("rep").alias("doc_id")).distinct())
 
     buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = reps.select("doc_id", "n", "prefix").mapInArrow(_postings(buckets), "bucket int, tokens binary, docs binary")
-    blocks = settle(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks, "block binary, members binary").dropDuplicates(["block"]))
-
-    signs = settle(rows.where("n > 0 AND doc_id IS NOT NULL").join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").select("doc_id", "n", "bits").dropDuplicates(["doc_id"]))
-    stars = blocks.select("members").mapInArrow(_stars(percent), "a long, b long").distinct()
+    posted = settle(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(percent), "block long, doc_id long, n long"))
+    degree = posted.groupBy("doc_id").agg(F.count("*").alias("degree"))
+    blocks = settle(posted.dropDuplicates(["block", "doc_id"]).join(degree, "doc_id"))
+    signs = settle(_of(docs, degree.select("doc_id")).mapInArrow(_signs, "doc_id long, n long, bits binary").dropDuplicates(["doc_id"]))
     left, right = (signs.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    likely = settle(stars.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(percent), "a long, b long"))
-    star_links = settle(verified(docs, likely, percent))
-    connected = components(star_links)
-
-    member = blocks.mapInArrow(_members, "block binary, doc_id long, n long").join(connected.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    open_blocks = member.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("block")
-    parts = member.join(open_blocks, "block").groupBy("block").applyInArrow(_split(PART), "block binary, left int, right int, part int, doc_id long")
-    labels = signs.join(connected.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    signed = parts.join(labels, "doc_id").groupBy("block", "left", "right").agg(F.collect_list(F.struct("doc_id", "n", "label", "bits", "part")).alias("members"))
-    found = signed.select("left", "right", "members").mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
-    tree_links = verified(docs, settle(found.join(likely, ["a", "b"], "left_anti")), percent)
-
-    final = components(settle(star_links.unionAll(tree_links)))
+
+    def labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return df.withColumn("label", F.col("doc_id"))
+        return df.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+    labels, links, tried = None, None, None
+    for order in (F.struct("degree", -F.col("doc_id")), F.struct(F.xxhash64("doc_id"), "doc_id")):
+        stars = star_pairs(labelled(blocks, labels), order, percent)
+        stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
+        likely = settle(stars.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(percent), "a long, b long"))
+        found = settle(verified(docs, likely, percent))
+        links = found if links is None else links.unionAll(found)
+        tried = likely if tried is None else tried.unionAll(likely)
+        labels = components(links)
+
+    tasks = _tasks(labelled(blocks, labels), PART).join(labelled(signs, labels), "doc_id")
+    found = tasks.groupBy("task").applyInArrow(_tree_pairs(percent), "a long, b long").distinct()
+    links = links.unionAll(verified(docs, settle(found.join(tried, ["a", "b"], "left_anti")), percent))
+
+    final = components(settle(links))
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component_id"))
     full = rows.where("n > 0").join(of_class, "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return full.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
@@ -413,11 +447,3 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     once = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
     return once.unionByName(kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
-
-
-def _members(source):
-    schema = pa.schema([("block", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64())])
-    for batch in source:
-        for block, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(members, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.binary()), pa.array(own[:, 0]), pa.array(own[:, 1])], schema=schema)
