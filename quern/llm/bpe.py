@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import slices
+from quern.llm.common import slices, small_batches
 
 #: Pre-tokens in a block; bounds the memory of a Python worker.
 BLOCK_TOKENS = 6_000_000
@@ -234,7 +234,7 @@ def _reassemble(path: str):
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
-    texts = docs.select("doc_id", "text")
+    texts = small_batches(docs).select("doc_id", "text")
     buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     codes = texts.mapInArrow(_codes(pattern, block_tokens), CODES_DDL)
     words = texts.mapInArrow(_words(pattern, block_tokens, buckets), WORDS_DDL)

@@ -67,6 +67,18 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Rows that go to Python at once; Spark bounds their bytes beside.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches kept small: texts are wide, and each batch is held a few times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256):
     """Short pieces of a batch, so that Python holds few texts at a time."""
     for at in range(0, batch.num_rows, rows):

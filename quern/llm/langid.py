@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import held_out, slices
+from quern.llm.common import held_out, slices, small_batches
 
 PROFILE = 300
 PER_LANGUAGE = 1500
@@ -121,7 +121,7 @@ def _count_grams(source):
 
 def learn(docs: DataFrame, most: int = PROFILE, per_language: int = PER_LANGUAGE) -> Profiles:
     """Profiles of the languages in the learning folds; what comes back is most rows a language."""
-    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = small_batches(docs).select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Profiles({})
@@ -148,7 +148,7 @@ def _judge(profiles: Profiles):
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_judge(profiles), OUT_DDL)
+    return small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_judge(profiles), OUT_DDL)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import give_back, settle, slices
+from quern.llm.common import give_back, settle, slices, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
     that both its readers see the same windows. Only pieces of windows left open move: at
     most open_windows * window ids from a partition, merge_width partitions to a group.
     """
-    placed = settle(docs.select("doc_id", "text").mapInArrow(_pack_partition(tokenizer, window, open_windows, min_piece), PIECES_DDL))
+    placed = settle(small_batches(docs).select("doc_id", "text").mapInArrow(_pack_partition(tokenizer, window, open_windows, min_piece), PIECES_DDL))
     left = placed.where("ids IS NOT NULL")
     merged = left.groupBy(F.floor(F.col("part") / merge_width)).applyInArrow(_merge_group(window, open_windows, min_piece, merge_width), PIECES_DDL)
     return placed.where("ids IS NULL").select(*COLUMNS).unionByName(merged.select(*COLUMNS))

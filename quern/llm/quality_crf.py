@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import held_out, slices
+from quern.llm.common import held_out, slices, small_batches
 
 TRAIN_DOCS = 3000
 #: Longer documents are not drawn for training; every document is judged whole.
@@ -219,7 +219,7 @@ def _judge(field: Field, keep_share: float):
 
 
 def judge(docs: DataFrame, field: Field, keep_share: float = KEEP_SHARE) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_judge(field, keep_share), OUT_DDL)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_judge(field, keep_share), OUT_DDL)
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:

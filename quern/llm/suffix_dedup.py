@@ -35,17 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import pack_codes, unpack_codes
-from quern.llm.common import content_key, settle
+from quern.llm.common import content_key, give_back, settle, small_batches
 
 WIDTH = 400
 #: Positions that a window chooses its anchor from; a power of two.
 SPAN = 256
 #: Bytes of text that go through the array code at once.
-BUFFER = 1 << 21
+BUFFER = 1 << 19
+#: Bytes of text whose anchors are packed together.
+PACKED = 1 << 23
 BUCKETS_EACH = 4
 #: Suffixes of a run, and texts that the ranges are cut by.
-RUN = 100_000
+RUN = 30_000
 SAMPLE_TEXTS = 2000
+#: Windows whose hashes a task holds at once.
+WINDOWS = 1 << 19
 #: Keys that may be broadcast, about 40 bytes each.
 BROADCAST_KEYS = 200_000
 
@@ -174,11 +178,13 @@ def _post(width: int, span: int, buckets: int):
                 keys.append(key)
                 texts.append(raw)
                 size += len(raw)
-                if size >= 4 * BUFFER:
+                if size >= PACKED:
                     yield packed(keys, texts)
                     keys, texts, size = [], [], 0
         if keys:
             yield packed(keys, texts)
+        keys, texts = [], []
+        give_back()
 
     return run
 
@@ -335,26 +341,38 @@ def _split(packed: bytes, sizes: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=False)]
 
 
-def repeated_windows(members: list[tuple[int, int, bytes, bytes, int]], width: int) -> list[tuple[int, int, int]]:
-    """members: (group, number, left bytes, suffix, windows). (number, first window, last window) for windows met twice in a group."""
-    found = []
-    batch, size = [], 0
-    groups: list[list] = []
-    for m in members:
-        if groups and groups[-1][0][0] == m[0]:
-            groups[-1].append(m)
-        else:
-            groups.append([m])
-    for k, group in enumerate(groups):
-        batch.append(group)
-        size += sum(len(m[2]) + len(m[3]) for m in group)
-        if size >= BUFFER // 2 or k == len(groups) - 1:
-            found += _repeated([m for g in batch for m in g], width)
+def repeated_windows(members: list[tuple[int, int, bytes, bytes, int]], width: int, most: int = WINDOWS) -> list[tuple[int, int, int]]:
+    """members: (group, number, left bytes, suffix, windows), groups together. (number, first window, last window) for windows met twice in a group.
+
+    Equal windows lie equally far before their anchors, so a group with more than `most`
+    windows is compared by distances, a few at a time.
+    """
+    found: list[tuple[int, int, int]] = []
+    batch: list[tuple] = []
+    size = at = 0
+    while at < len(members):
+        end = at
+        while end < len(members) and members[end][0] == members[at][0]:
+            end += 1
+        group = members[at:end]
+        own = sum(m[4] for m in group)
+        at = end
+        if own > most:
+            reach = 1 + max(len(m[2]) for m in group)
+            step = max(1, most // len(group))
+            for far in range(0, reach, step):
+                found += _repeated(group, width, far, far + step)
+            continue
+        batch += group
+        size += own
+        if size > most:
+            found += _repeated(batch, width, 0, 1 << 30)
             batch, size = [], 0
-    return found
+    return found + (_repeated(batch, width, 0, 1 << 30) if batch else [])
 
 
-def _repeated(members: list[tuple], width: int) -> list[tuple[int, int, int]]:
+def _repeated(members: list[tuple], width: int, near: int, far: int) -> list[tuple[int, int, int]]:
+    """As repeated_windows, for windows from `near` to below `far` bytes before their anchors."""
     hashes, owner, first = [], [], []
     at = 0
     while at < len(members):  # buffers no longer than the tables of powers
@@ -365,8 +383,10 @@ def _repeated(members: list[tuple], width: int) -> list[tuple[int, int, int]]:
             at += 1
         h = Hashes(np.frombuffer(b"".join([x for m in part for x in (m[2], m[3])]), np.uint8))
         begins = np.cumsum([0] + [len(m[2]) + len(m[3]) for m in part])[:-1]
-        count = np.array([m[4] for m in part])
-        rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        left, windows = (np.array(x) for x in ([len(m[2]) for m in part], [m[4] for m in part]))
+        low = np.maximum(left - far + 1, 0)
+        count = np.maximum(np.minimum(left - near + 1, windows) - low, 0)
+        rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         starts = np.repeat(begins, count) + rel
         mixed = np.repeat(np.array([m[0] for m in part], np.uint64), count) * np.uint64(0x9E3779B97F4A7C15)
         hashes.append(np.stack((h.of(starts, starts + width) ^ mixed, h.of(starts, starts + width, 1))))
@@ -411,6 +431,8 @@ def _merge(width: int, span: int):
                 last = (*own, None)
         found = [(names[n][0], names[n][1] + a, names[n][1] + b, 0, True) for n, a, b in repeated_windows(members, width)]
         columns = list(zip(*found, strict=True)) or [[] for _ in _FOUND]
+        del runs, lefts, members, names, found
+        give_back()
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
     return run
@@ -449,7 +471,7 @@ def _cut_out(width: int):
 def _heads(width: int, span: int):
     def run(source):
         for batch in source:
-            texts = [(t or "").encode()[: BUFFER // 2] for t in batch.column(0).to_pylist()]
+            texts = [(t or "").encode()[: BUFFER // 8] for t in batch.column(0).to_pylist()]
             heads = []
             for buf, places in _buffers(texts, width):
                 raw = buf.tobytes()
@@ -470,7 +492,7 @@ def splitters(texts: DataFrame, total: int, ranges: int, width: int, span: int)
 def remove(docs: DataFrame, width: int = WIDTH, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", content_key(F.col("text")))
+    rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", content_key(F.col("text")))
     narrow = settle(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")))
     copies = settle(narrow.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep")).where("copies > 1"))
 

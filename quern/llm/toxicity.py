@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import held_out, slices
+from quern.llm.common import give_back, held_out, slices, small_batches
 
 WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
 EMBED = 4
 TRAIN_TOXIC = 1200
-TRAIN_CLEAN = 2800
+TRAIN_CLEAN = 3200
 #: Longer documents are not drawn for training; every document is scored whole.
 TRAIN_CHARS = 20_000
 WORD_BINS = 1 << 18
@@ -42,9 +42,9 @@ PIECE_BINS = 1 << 17
 EMBED_BINS = 1 << 14
 INPUTS = 3 + 2 * EMBED
 #: Words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Windows that run through the network at once.
-BATCH = 4096
+BATCH = 2048
 
 _STRIP = ".,;:!?|\"'()[]{}<>*#%&$"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -211,16 +211,17 @@ def _cut(ids: list[np.ndarray], empty: int) -> tuple[np.ndarray, np.ndarray]:
     rows, owner = [], []
     for k, own in enumerate(ids):
         starts = windows(len(own))
-        padded = np.full(int(starts[-1]) + WINDOW, empty, np.int64)
+        padded = np.full(int(starts[-1]) + WINDOW, empty, np.int32)
         padded[: len(own)] = own
         rows.append(padded[starts[:, None] + np.arange(WINDOW)])
-        owner.append(np.full(len(starts), k))
+        owner.append(np.full(len(starts), k, np.int32))
     return np.concatenate(rows), np.concatenate(owner)
 
 
 def train(documents: list[str], toxic: list[int], rounds: int = 3, epochs: int = 6, seed: int = 5) -> Network | None:
     """A network for whole documents, of which only the label is known."""
-    texts = [words_of(t) for t in documents]
+    once: dict[str, str] = {}  # one string for each distinct word
+    texts = [[once.setdefault(w, w) for w in words_of(t)] for t in documents]
     y = np.array(toxic, np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -253,6 +254,7 @@ def train(documents: list[str], toxic: list[int], rounds: int = 3, epochs: int =
         pick = np.concatenate((best, second[y[owner[second]] == 0]))
         for _ in range(epochs):
             rng.shuffle(pick)
+            vocab = [list(v) for v in known]
             for at in range(0, len(pick), 256):
                 rows = pick[at : at + 256]
                 words, places = np.unique(every[rows], return_inverse=True)
@@ -262,8 +264,7 @@ def train(documents: list[str], toxic: list[int], rounds: int = 3, epochs: int =
                 for k, low, high in ((0, 0, shift), (1, shift, empty)):
                     own = np.flatnonzero((words >= low) & (words < high))
                     net.odds = other[k]
-                    names = vocab[k] if (vocab := [list(v) for v in known] if at == 0 and not inner else vocab) else []
-                    x[own], parts = net.inputs([names[w - low] for w in words[own]])
+                    x[own], parts = net.inputs([vocab[k][w - low] for w in words[own]])
                     inner.append((own, parts))
                 logits, kept = net.forward(net.projected(x)[places], mask, keep=True)
                 dlogit = ((_sigmoid(logits) - y[owner[rows]]) / len(rows)).astype(np.float32)
@@ -286,6 +287,8 @@ def train(documents: list[str], toxic: list[int], rounds: int = 3, epochs: int =
         gates = net.projected(x)
         rank = np.concatenate([net.forward(gates[every[k : k + BATCH]], (every[k : k + BATCH] != empty).astype(np.float32)) for k in range(0, len(every), BATCH)])
     net.odds = Odds(texts, y)
+    del every, owner, ids, rank, x, gates, adam
+    give_back()
     return net
 
 
@@ -348,12 +351,14 @@ def _score(net: Network | None):
             for piece in slices(batch, 128):
                 score = scorer(piece.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=_OUT)
+        del scorer
+        give_back()
 
     return run
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(net), OUT_DDL)
+    return small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(net), OUT_DDL)
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -367,10 +372,12 @@ def _clean(net: Network | None, at: int):
         for batch in source:
             for piece in slices(batch, 128):
                 yield piece.filter(pa.array(scorer(piece.column(at).to_pylist()) < 0.5))
+        del scorer
+        give_back()
 
     return run
 
 
 def reject(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """The rows of docs whose whole text isn't predicted toxic, with all their columns."""
-    return docs.mapInArrow(_clean(net, docs.columns.index(text)), docs.schema)
+    return small_batches(docs).mapInArrow(_clean(net, docs.columns.index(text)), docs.schema)
