@@ -60,6 +60,17 @@ def batches(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(rows, schema=schema)
 
 
+#: What empties the memories that a Python worker keeps between tasks.
+MEMORIES: list = []
+
+
+def forget() -> None:
+    """Empties what other operators remember in this Python worker; called where a stage of its own begins."""
+    for empty in MEMORIES:
+        empty()
+    give_back()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers are used again and share a host's memory."""
     gc.collect()

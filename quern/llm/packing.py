@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import give_back, settle, slices, small_batches
+from quern.llm.common import MEMORIES, give_back, settle, slices, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -101,6 +101,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+MEMORIES.append(word_ids.cache_clear)
+
+
 class Packer:
     """Open windows of one partition. emit() gets (pieces of a window, its fill)."""
 

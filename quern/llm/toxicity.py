@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import give_back, held_out, slices, small_batches
+from quern.llm.common import forget, give_back, held_out, slices, small_batches
 
 WINDOW = 32
 STRIDE = 16
@@ -346,6 +346,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, mos
 
 def _score(net: Network | None):
     def run(source):
+        forget()
         scorer = Scorer(net)
         for batch in source:
             for piece in slices(batch, 128):
@@ -368,6 +369,7 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _clean(net: Network | None, at: int):
     def run(source):
+        forget()
         scorer = Scorer(net)
         for batch in source:
             for piece in slices(batch, 128):
