@@ -9,9 +9,8 @@ A document is the set of its five-word shingles, as 64-bit hashes; two sets link
    tokens that a bounded sample finds frequent are moved to the end of the order, which keeps
    blocks small and cannot lose a pair). Tokens are shuffled by hash buckets; a token's
    posters are a block, and equal blocks become one.
-3. Stars: in each block every member is compared with one leader: first the member that is in
-   most blocks, then one by hash. The links found connect most copies of one text at once, by
-   one comparison each.
+3. Stars: in each block every member is compared with the member that is in most blocks. The
+   links found connect most copies of one text at once, by one comparison each.
 4. Trees: signature trees find what is left. Nodes hold the OR of their members' token bitmaps
    and their range of sizes. Two nodes are traversed together and dropped when their sizes are
    too far apart, when all their members are connected already, or when the bits they share
@@ -37,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import give_back, settle, slices
+from quern.llm.common import forget, give_back, settle, slices, small_batches
 from quern.llm.graph import components
 
 SHINGLE = 5
@@ -120,6 +119,7 @@ def _described(frequent: np.ndarray, percent: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("prefix", pa.binary())])
 
     def run(source):
+        forget()
         for batch in source:
             for piece in slices(batch):
                 rows = []
@@ -398,7 +398,7 @@ def _may_link(percent: int):
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     rows = settle(docs.mapInArrow(_described(frequent_tokens(docs), percent), "doc_id long, n long, set_hash binary, prefix binary"))
     classes = settle(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
     reps = _of(rows.where("n > 0"), classes.select(F.col("rep").alias("doc_id")).distinct())
@@ -411,22 +411,15 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signs = settle(_of(docs, degree.select("doc_id")).mapInArrow(_signs, "doc_id long, n long, bits binary").dropDuplicates(["doc_id"]))
     left, right = (signs.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
 
-    def labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return df.withColumn("label", F.col("doc_id"))
+    def labelled(df: DataFrame) -> DataFrame:
         return df.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
-    labels, links, tried = None, None, None
-    for order in (F.struct("degree", -F.col("doc_id")), F.struct(F.xxhash64("doc_id"), "doc_id")):
-        stars = star_pairs(labelled(blocks, labels), order, percent)
-        stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
-        likely = settle(stars.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(percent), "a long, b long"))
-        found = settle(verified(docs, likely, percent))
-        links = found if links is None else links.unionAll(found)
-        tried = likely if tried is None else tried.unionAll(likely)
-        labels = components(links)
-
-    tasks = _tasks(labelled(blocks, labels), PART).join(labelled(signs, labels), "doc_id")
+    stars = star_pairs(blocks.withColumn("label", F.col("doc_id")), F.struct("degree", -F.col("doc_id")), percent)
+    tried = settle(stars.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(percent), "a long, b long"))
+    links = settle(verified(docs, tried, percent))
+    labels = components(links)
+
+    tasks = _tasks(labelled(blocks), PART).join(labelled(signs), "doc_id")
     found = tasks.groupBy("task").applyInArrow(_tree_pairs(percent), "a long, b long").distinct()
     links = links.unionAll(verified(docs, settle(found.join(tried, ["a", "b"], "left_anti")), percent))
 
