@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share; a local one, emptied at exit, only where the session names none."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = f"file://{tempfile.gettempdir()}/quern-shared-{os.getuid()}"
+        local = f"{tempfile.gettempdir()}/quern-shared-{os.getpid()}"
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = f"file://{local}"
     return folder
 
 
