@@ -17,11 +17,12 @@ def _bracketed(c: Column) -> Column:
 
 
 def _parses(c: Column) -> Column:
-    return F.expr("true") & F.try_parse_json(c).isNotNull()
+    return F.try_parse_json(c).isNotNull()
 
 
-def _full(c: Column) -> Column:
-    return F.filter(F.transform(lines(c), trim_u), lambda x: x != "")
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
 
 
 def _delimited(own: Column, mark: str) -> Column:
@@ -29,8 +30,7 @@ def _delimited(own: Column, mark: str) -> Column:
     return (F.size(own) >= K.MIN_DELIMITED) & (F.element_at(counts, 1) > 0) & (F.size(F.array_distinct(counts)) == 1)
 
 
-def _yaml(c: Column) -> Column:
-    own = F.filter(lines(c), lambda x: trim_u(x) != "")
+def _yaml(own: Column) -> Column:
     first = F.regexp_replace(F.element_at(own, 1), r"\s+$", "")
 
     def shaped(x: Column) -> Column:
@@ -50,11 +50,18 @@ def _yaml(c: Column) -> Column:
 
 def sniff(text: Column) -> Column:
     """The format of a payload, or null: the first that fits."""
-    c = trim_u(text)
-    own = _full(c)
-    ndjson = (F.size(own) >= 2) & F.forall(own, lambda x: x.startswith("{") | x.startswith("[")) & F.forall(F.slice(own, 1, K.NDJSON_SAMPLE), _parses)
-    return (
-        F.when(c == "", None).when(_bracketed(c) & ((F.octet_length(c) > K.MAX_PARSE_BYTES) | ((F.size(own) < 2) | ~ndjson) & _parses(c)), "json")
-        .when(ndjson, "ndjson").when(_bracketed(c) & c.rlike(r'"[^"]*"\s*:'), "json").when(_yaml(c), "yaml")
-        .when(_delimited(own, "\t"), "tsv").when(_delimited(own, ","), "csv")
-    )
+
+    def judge(v: Column) -> Column:
+        c, own = v["c"], v["own"]
+        ndjson = (F.size(own) >= 2) & F.forall(own, lambda x: x.startswith("{") | x.startswith("[")) & F.forall(F.slice(own, 1, K.NDJSON_SAMPLE), _parses)
+        return (
+            F.when(c == "", None).when(_bracketed(c) & ((F.octet_length(c) > K.MAX_PARSE_BYTES) | ((F.size(own) < 2) | ~ndjson) & _parses(c)), "json")
+            .when(ndjson, "ndjson").when(_bracketed(c) & c.rlike(r'"[^"]*"\s*:'), "json").when(_yaml(v["full"]), "yaml")
+            .when(_delimited(own, "\t"), "tsv").when(_delimited(own, ","), "csv")
+        )
+
+    def with_lines(c: Column) -> Column:
+        full = F.filter(lines(c), lambda x: x.rlike(r"(?U)\S"))
+        return _let(full, lambda f: F.struct(c.alias("c"), f.alias("full"), F.transform(f, lambda x: trim_u(x)).alias("own")))
+
+    return _let(_let(trim_u(text), with_lines), judge)
