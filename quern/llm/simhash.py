@@ -7,7 +7,9 @@ of a text small enough for the lanes.
 
 within_radius() finds all fingerprints in a Hamming radius by permuted block tables: the 64
 bits are cut into blocks, and two fingerprints that differ in at most `radius` bits agree on
-some choice of `blocks - radius` blocks, so one table for each choice finds them all.
+some choice of `blocks - radius` blocks, so one table for each choice finds them all. Blocks
+that many fingerprints share are cut the same way once more, in the bits that are left.
+compare() searches all distinct fingerprints of its rows and counts what each has near it.
 
 following() pairs each document with the next in descending order of id without one task that
 sees all rows: ids are dealt to ranges by quantiles and, within these, to equal steps; the
@@ -39,6 +41,10 @@ BUCKET_ROWS = 1000
 BROADCAST_HEADS = 200_000
 RADIUS = 3
 BLOCKS = 6
+#: Fingerprints that may share a block before it is cut once more.
+BLOCK_ROWS = 200
+#: Parts into which the rows of one fingerprint are dealt to meet its counts.
+SALTS = 32
 
 
 def _balanced(terms: list, join):
@@ -120,11 +126,12 @@ def _as_long(digits: Column) -> Column:
     return F.when(x >= half, x - half - half).otherwise(x).cast("long")
 
 
-def compare(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def compare(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, radius: int = RADIUS) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_fingerprints, near_documents.
 
-    Texts are shuffled once, to meet their next; what else the result needs of a document goes
-    along with its votes as numbers, the SHA-256 as four.
+    The last two count the other distinct fingerprints, and the other rows, in `radius` bits of
+    a row's fingerprint. Texts are shuffled once, to meet their next; what else the result needs
+    of a document goes along with its votes as numbers, the SHA-256 as four.
     """
     key = (F.col("bucket") + 1) * (1 << 32) + F.col("place") * 2
     rows = following(docs, bucket_rows).select("halo", "doc_id", "text", F.when(F.col("halo") == 0, edited(F.col("text"), F.col("next_text"))).alias("edited"), key.alias("key"))
@@ -137,25 +144,68 @@ def compare(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     odd = F.pmod(F.col("key"), F.lit(2))
     pairs = prints.groupBy((F.col("key") - odd).alias("key")).agg(*[F.max(c).alias(c) for c in info], F.max(F.when(odd == 0, F.col("fingerprint"))).alias("a"), F.max(F.when(odd == 1, F.col("fingerprint"))).alias("b"))
     ahead = F.lead("a").over(Window.partitionBy(F.shiftright("key", 32)).orderBy("key"))
-    return pairs.withColumn("next", ahead).where("halo = 0").select(
+    done = settle(pairs.withColumn("next", ahead).where("halo = 0").select("key", "doc_id", "n_chars", *sha, "a", "b", "next"))
+    # Rows of a frequent fingerprint are dealt to parts by their keys, which are unique; its counts go to each part.
+    near = neighbours(done.select(F.col("a").alias("fingerprint")), radius).select(F.col("fingerprint").alias("a"), "near_fingerprints", "near_documents", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    met = done.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(near, ["a", "part"], "left")
+    return met.select(
         "doc_id", "n_chars", F.concat(*[hexed(F.col(c)) for c in sha]).alias("edited_sha256"), hexed(F.col("a")).alias("fingerprint"), hexed(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next")).alias("near_next"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("near_fingerprints", "near_documents")],
     )
 
 
+def neighbours(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fingerprint, near_fingerprints, near_documents: other distinct fingerprints and other rows in the radius; without fingerprints that have none."""
+    counted = settle(rows.groupBy("fingerprint").agg(F.count("*").alias("n")))
+    found = within_radius(counted, counted, radius).join(counted, "fingerprint")
+    near = found.groupBy("query").agg((F.count("*") - 1).alias("near_fingerprints"), (F.sum("n") - 1).alias("near_documents"))
+    return near.where("near_documents > 0").withColumnRenamed("query", "fingerprint")
+
+
+def _masks(bits: list[int], radius: int, blocks: int) -> list[list[int]]:
+    """For each choice of blocks that may agree, the bits in them; `bits` are cut into blocks of nearly the same size."""
+    cut = [bits[len(bits) * k // blocks : len(bits) * (k + 1) // blocks] for k in range(blocks)]
+    return [sum((cut[k] for k in kept), []) for kept in combinations(range(blocks), blocks - radius)]
+
+
+def _mask(bits: list[int]) -> Column:
+    m = sum(1 << b for b in bits)
+    return F.lit(m - (1 << 64) if m >> 63 else m)
+
+
 def block_keys(fingerprint: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
     """(table, key) for each choice of blocks that may agree: the fingerprint's bits in them."""
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
-    masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in kept) for kept in combinations(range(blocks), blocks - radius)]
-    return F.array(*[F.struct(F.lit(t).alias("table"), fingerprint.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("block")) for t, m in enumerate(masks)])
+    return F.array(*[F.struct(F.lit(t).alias("table"), fingerprint.bitwiseAND(_mask(kept)).alias("block")) for t, kept in enumerate(_masks(list(range(BITS)), radius, blocks))])
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """query, fingerprint, distance: all distinct pairs of the two `fingerprint` columns (longs) that differ in at most `radius` bits."""
+def _finer_keys(fingerprint: Column, table: Column, radius: int, blocks: int) -> Column:
+    """(finer, kept): the bits that a table leaves open, cut into blocks in turn; for each choice of these, the fingerprint's bits in them."""
+    left = [[b for b in range(BITS) if b not in kept] for kept in _masks(list(range(BITS)), radius, blocks)]
+    masks = F.element_at(F.array(*[F.array(*[_mask(kept) for kept in _masks(bits, radius, blocks)]) for bits in left]), table + 1)
+    return F.transform(masks, lambda m, k: F.struct(k.alias("finer"), fingerprint.bitwiseAND(m).alias("kept")))
 
-    def tabled(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct().select(name, F.inline(block_keys(F.col(name), radius, blocks)))
 
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query, fingerprint, distance: all distinct pairs of the two `fingerprint` columns (longs) that differ in at most `radius` bits.
+
+    A block is shared by at most `block_rows` fingerprints, or is cut once more.
+    """
+    sides = queries.select("fingerprint", F.lit(1).alias("asks"), F.lit(0).alias("answers")).unionByName(prints.select("fingerprint", F.lit(0).alias("asks"), F.lit(1).alias("answers")))
+    values = settle(sides.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.max("asks").alias("asks"), F.max("answers").alias("answers")))
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint")))
-    found = tabled(queries, "query").join(tabled(prints, "fingerprint"), ["table", "block"]).where(distance <= radius)
-    return found.select("query", "fingerprint", distance.alias("distance")).distinct()
+
+    def shared(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumn("rows", F.count("*").over(Window.partitionBy(*keys))).where("rows > 1")
+
+    def met(df: DataFrame, keys: list[str]) -> DataFrame:
+        asking = df.where("asks = 1").select(*keys, F.col("fingerprint").alias("query"))
+        found = asking.join(df.where("answers = 1").select(*keys, "fingerprint"), keys).where((F.col("query") != F.col("fingerprint")) & (distance <= radius))
+        return found.select("query", "fingerprint")
+
+    tabled = settle(shared(values.select("*", F.inline(block_keys(F.col("fingerprint"), radius, blocks))), ["table", "block"]))
+    finer = tabled.where(F.col("rows") > block_rows).select("table", "block", "fingerprint", "asks", "answers", F.inline(_finer_keys(F.col("fingerprint"), F.col("table"), radius, blocks)))
+    finer = settle(shared(finer, ["table", "block", "finer", "kept"]))
+    found = met(tabled.where(F.col("rows") <= block_rows), ["table", "block"]).unionByName(met(finer, ["table", "block", "finer", "kept"])).distinct()
+    same = values.where("asks = 1 AND answers = 1").select(F.col("fingerprint").alias("query"), "fingerprint")
+    return found.unionByName(same).select("query", "fingerprint", distance.alias("distance"))

@@ -132,3 +132,28 @@ def test_within_radius(spark):
     got = {(r.query, r.fingerprint, r.distance) for r in simhash.within_radius(df, df, 3, 6).collect()}
     far = lambda a, b: bin((a ^ b) % (1 << 64)).count("1")
     assert got == {(a, b, far(a, b)) for a in set(signed) for b in set(signed) if far(a, b) <= 3}
+
+
+def test_radius_search_is_part_of_the_query(make):
+    # A family of copies with a few words changed, exact copies, and texts of their own.
+    body = " ".join(f"word{k}" for k in range(400))
+    family = [body + "".join(f" x{k}y{j}" for j in range(k % 3)) for k in range(12)]
+    rows = [(k, t, "en", "a") for k, t in enumerate([*family, body, body, "", None, *[" ".join(f"own{k}w{j}" for j in range(40)) for k in range(5)]])]
+    prints = {k: int(_fingerprint(t or ""), 16) for k, t, *_ in rows}
+    near = {k: [j for j in prints if j != k and bin(prints[j] ^ v).count("1") <= 3] for k, v in prints.items()}
+    want = {k: (len({prints[j] for j in near[k]} - {prints[k]}), len(near[k])) for k in prints}
+    got = {r.doc_id: (r.near_fingerprints, r.near_documents) for r in simhash.compare(make(rows)).collect()}
+    assert got == want and max(w[0] for w in want.values()) > 0 and min(w[1] for w in want.values()) == 0
+
+
+def test_within_radius_of_shared_blocks(spark):
+    import random
+
+    rng = random.Random(5)
+    # 150 fingerprints that agree in all but 20 bits, so that blocks are cut once more.
+    values = {0x5555_0000_5555_0000 ^ sum(1 << rng.randrange(10, 30) for _ in range(rng.randint(0, 4))) for _ in range(150)} | {rng.getrandbits(63) for _ in range(20)}
+    df = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    ask = df.where("fingerprint % 3 != 0")
+    got = [(r.query, r.fingerprint, r.distance) for r in simhash.within_radius(ask, df, block_rows=5).collect()]
+    far = lambda a, b: bin(a ^ b).count("1")
+    assert sorted(got) == sorted((a, b, far(a, b)) for a in values if a % 3 for b in values if far(a, b) <= 3)
