@@ -14,7 +14,8 @@ suffixes would move each byte hundreds of times, so suffixes are sorted where it
    of the prefix shared with the suffix before, and the rest), and sends its part of each
    range. A range merges its runs with a loser tree that keeps the shared prefix of every
    loser with its winner, so no byte known to be equal is compared again. Suffixes that share
-   a core now lie together, and their windows are compared by their bytes' hashes.
+   a core now lie together. Their windows are equal where the merged order's common prefixes
+   reach the window's end and the bytes before the anchors, ordered from there, are the same.
 4. The intervals found are united in each text and cut out.
 
 Texts that occur more than once are removed whole (if they have `width` bytes) and sorted once.
@@ -48,7 +49,7 @@ BUCKETS_EACH = 4
 #: Suffixes of a run, and texts that the ranges are cut by.
 RUN = 30_000
 SAMPLE_TEXTS = 2000
-#: Windows whose hashes a task holds at once.
+#: Windows found that a task holds at once.
 WINDOWS = 1 << 19
 #: Keys that may be broadcast, about 40 bytes each.
 BROADCAST_KEYS = 200_000
@@ -341,69 +342,62 @@ def _split(packed: bytes, sizes: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=False)]
 
 
-def repeated_windows(members: list[tuple[int, int, bytes, bytes, int]], width: int, most: int = WINDOWS) -> list[tuple[int, int, int]]:
+def repeated_windows(members: list[tuple[int, int, bytes, bytes, int]], width: int, most: int = WINDOWS, known: list[int] | None = None) -> list[tuple[int, int, int]]:
     """members: (group, number, left bytes, suffix, windows), groups together. (number, first window, last window) for windows met twice in a group.
 
-    Equal windows lie equally far before their anchors, so a group with more than `most`
-    windows is compared by distances, a few at a time.
+    `known`: the prefix each suffix shares with the one before in its group, -1 at a group's
+    first; without it, the suffixes are sorted here. About `most` windows found are held at once.
     """
+    if known is None:
+        members = sorted(members, key=lambda m: (m[0], m[3]))
+        known = [-1, *(shared(x[3], y[3]) if x[0] == y[0] else -1 for x, y in zip(members, members[1:], strict=False))]
     found: list[tuple[int, int, int]] = []
-    batch: list[tuple] = []
-    size = at = 0
-    while at < len(members):
-        end = at
-        while end < len(members) and members[end][0] == members[at][0]:
-            end += 1
-        group = members[at:end]
-        own = sum(m[4] for m in group)
-        at = end
-        if own > most:
-            reach = 1 + max(len(m[2]) for m in group)
-            step = max(1, most // len(group))
-            for far in range(0, reach, step):
-                found += _repeated(group, width, far, far + step)
-            continue
-        batch += group
-        size += own
+    begin = size = 0
+    for k, m in enumerate(members):
+        if size > most and m[0] != members[k - 1][0]:
+            found += _repeated(members[begin:k], known[begin:k], width, most)
+            begin, size = k, 0
+        size += m[4]
+    return found + (_repeated(members[begin:], known[begin:], width, most) if members else [])
+
+
+def _repeated(members: list[tuple], known: list[int], width: int, most: int) -> list[tuple[int, int, int]]:
+    """As repeated_windows, for members in the order of their suffixes.
+
+    Equal windows lie equally far before their anchors. Those `far` bytes before are equal where
+    the suffixes share the window's other bytes, which the common prefixes tell of neighbours
+    in the order, and the last `far` bytes of the lefts are equal, told by an order of their own.
+    """
+    n = len(members)
+    number, left, windows = np.array([m[1] for m in members]), np.array([len(m[2]) for m in members]), np.array([m[4] for m in members])
+    ahead = np.array(known)
+    turned = [m[2][::-1] for m in members]
+    order = sorted(range(n), key=lambda k: (members[k][0], turned[k]))
+    behind = np.array([-1, *(shared(turned[x], turned[y]) if members[x][0] == members[y][0] else -1 for x, y in zip(order, order[1:], strict=False))])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    found: list[tuple[int, int, int]] = []
+    owners, firsts, size = [], [], 0
+    for far in range(int(left.max()) + 1):
+        own = np.flatnonzero((left >= far) & (left - far < windows))
+        same = np.cumsum(ahead < width - far)[own] * (n + 1) + np.cumsum(behind < far)[place[own]]
+        _, kind, times = np.unique(same, return_inverse=True, return_counts=True)
+        own = own[times[kind] > 1]
+        owners.append(own)
+        firsts.append(left[own] - far)
+        size += len(own)
         if size > most:
-            found += _repeated(batch, width, 0, 1 << 30)
-            batch, size = [], 0
-    return found + (_repeated(batch, width, 0, 1 << 30) if batch else [])
-
-
-def _repeated(members: list[tuple], width: int, near: int, far: int) -> list[tuple[int, int, int]]:
-    """As repeated_windows, for windows from `near` to below `far` bytes before their anchors."""
-    hashes, owner, first = [], [], []
-    at = 0
-    while at < len(members):  # buffers no longer than the tables of powers
-        part, size = [], 0
-        while at < len(members) and (not part or size + len(members[at][2]) + len(members[at][3]) <= BUFFER):
-            part.append(members[at])
-            size += len(members[at][2]) + len(members[at][3])
-            at += 1
-        h = Hashes(np.frombuffer(b"".join([x for m in part for x in (m[2], m[3])]), np.uint8))
-        begins = np.cumsum([0] + [len(m[2]) + len(m[3]) for m in part])[:-1]
-        left, windows = (np.array(x) for x in ([len(m[2]) for m in part], [m[4] for m in part]))
-        low = np.maximum(left - far + 1, 0)
-        count = np.maximum(np.minimum(left - near + 1, windows) - low, 0)
-        rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        starts = np.repeat(begins, count) + rel
-        mixed = np.repeat(np.array([m[0] for m in part], np.uint64), count) * np.uint64(0x9E3779B97F4A7C15)
-        hashes.append(np.stack((h.of(starts, starts + width) ^ mixed, h.of(starts, starts + width, 1))))
-        owner.append(np.repeat(np.array([m[1] for m in part]), count))
-        first.append(rel)
-    h, owner, rel = np.concatenate(hashes, axis=1), np.concatenate(owner), np.concatenate(first)
-    order = np.lexsort((h[1], h[0]))
-    same = (h[0][order][1:] == h[0][order][:-1]) & (h[1][order][1:] == h[1][order][:-1])
-    hit = np.zeros(len(order), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    owner, rel = owner[hit], rel[hit]
-    if not len(owner):
-        return []
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (rel[1:] != rel[:-1] + 1)))
-    begin = np.flatnonzero(new)
-    return list(zip(owner[begin].tolist(), rel[begin].tolist(), rel[np.append(begin[1:], len(rel)) - 1].tolist(), strict=True))
+            found += _stretches(np.concatenate(owners), np.concatenate(firsts), number)
+            owners, firsts, size = [], [], 0
+    return found + (_stretches(np.concatenate(owners), np.concatenate(firsts), number) if size else [])
+
+
+def _stretches(owner: np.ndarray, rel: np.ndarray, number: np.ndarray) -> list[tuple[int, int, int]]:
+    """(number, first window, last window) of each row of windows without a gap."""
+    order = np.lexsort((rel, owner))
+    owner, rel = owner[order], rel[order]
+    begin = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (rel[1:] != rel[:-1] + 1))))
+    return list(zip(number[owner[begin]].tolist(), rel[begin].tolist(), rel[np.append(begin[1:], len(rel)) - 1].tolist(), strict=True))
 
 
 def _merge(width: int, span: int):
@@ -416,7 +410,7 @@ def _merge(width: int, span: int):
             lefts.append(_split(r["lefts"], unpack_codes(r["left_sizes"])))
             keys.append(r["keys"])
             places.append(np.frombuffer(r["places"], np.int64).reshape(-1, 2))
-        members, names, group, last = [], [], -1, None
+        members, names, prefixes, group, last = [], [], [], -1, None
         for run_no, k, suffix, known in LoserTree(runs):
             own = (lefts[run_no][k], suffix, places[run_no][k], keys[run_no][16 * k : 16 * k + 16])
             if last is not None and known >= core:
@@ -425,13 +419,14 @@ def _merge(width: int, span: int):
                         group += 1
                     low, high = m[2].tolist()
                     members.append((group, len(names), m[0], m[1], high - low + 1))
+                    prefixes.append(-1 if m is last else known)
                     names.append((m[3], low))
                 last = (*own, group)
             else:
                 last = (*own, None)
-        found = [(names[n][0], names[n][1] + a, names[n][1] + b, 0, True) for n, a, b in repeated_windows(members, width)]
+        found = [(names[n][0], names[n][1] + a, names[n][1] + b, 0, True) for n, a, b in repeated_windows(members, width, known=prefixes)]
         columns = list(zip(*found, strict=True)) or [[] for _ in _FOUND]
-        del runs, lefts, members, names, found
+        del runs, lefts, members, names, prefixes, found
         give_back()
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 

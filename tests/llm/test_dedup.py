@@ -181,3 +181,19 @@ def test_windows_by_distance():
     few = sorted(x for x in suffix_dedup.repeated_windows(members, 24, 5))
     cover = lambda rows: {(n, w) for n, a, b in rows for w in range(a, b + 1)}
     assert cover(few) == cover(suffix_dedup.repeated_windows(members, 24, 1 << 20)) != set()
+
+
+def test_windows_by_merged_order(monkeypatch):
+    """What the merge knows decides which windows are equal, byte by byte; no hash is asked."""
+    monkeypatch.setattr(suffix_dedup, "Hashes", None)
+    rng = random.Random(8)
+    members = []
+    for k in range(60):
+        left = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9)))
+        members.append((k // 20, k, left, b"c" * 20 + bytes(rng.choice(b"ab") for _ in range(12)), len(left) + rng.randint(-3, 1)))
+    members = [m for m in members if m[4] > 0]
+    cut = lambda m, w: (m[0], len(m[2]) - w, (m[2] + m[3])[w : w + 24])
+    times = Counter(cut(m, w) for m in members for w in range(m[4]))
+    want = {(m[1], w) for m in members for w in range(m[4]) if times[cut(m, w)] > 1}
+    for most in (5, 1 << 20):
+        assert {(n, w) for n, a, b in suffix_dedup.repeated_windows(members, 24, most) for w in range(a, b + 1)} == want != set()
