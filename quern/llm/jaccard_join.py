@@ -21,6 +21,9 @@ A document is the set of its five-word shingles, as 64-bit hashes; two sets link
 5. Pairs that are left are verified on the whole sets, and components are found by rounds of
    joins.
 
+join() gives connectivity only: pairs that are connected already are dropped unseen. links() and
+link_counts() drop none, for all links and for the number of links of each document.
+
 Defined cases: null texts and texts without words have the empty set, link with nothing, and
 are their own component. Fewer than five words are one shingle. Rows that share a doc_id are
 one document; a row with a null doc_id has no component. Other columns are ignored.
@@ -429,6 +432,53 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return full.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(rep, near) and (doc_id, rep): all pairs of different sets that link, in both directions, and the sets of each document.
+
+    A set is named by a number of its own. Nothing is dropped for being connected, so the work
+    grows with the number of links; copies of one set are one.
+    """
+    numbered = settle(small_batches(docs).where("doc_id IS NOT NULL").select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    single = numbered.select(F.col("row").alias("doc_id"), "text")  # each row is a document with one set
+    rows = settle(single.mapInArrow(_described(frequent_tokens(single), percent), "doc_id long, n long, set_hash binary, prefix binary").where("n > 0"))
+    classes = settle(rows.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
+    of_row = rows.join(classes, "set_hash").select(F.col("doc_id").alias("row"), "rep")
+    sets = settle(numbered.select("doc_id", "row").join(of_row, "row").select("doc_id", "rep").distinct())
+
+    buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = _of(rows, classes.select(F.col("rep").alias("doc_id")))
+    postings = reps.select("doc_id", "n", "prefix").mapInArrow(_postings(buckets), "bucket int, tokens binary, docs binary")
+    posted = postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(percent), "block long, doc_id long, n long")
+    blocks = settle(posted.dropDuplicates(["block", "doc_id"]).withColumn("label", F.col("doc_id")))
+    signs = settle(_of(single, blocks.select("doc_id").distinct()).mapInArrow(_signs, "doc_id long, n long, bits binary"))
+    tasks = _tasks(blocks, PART).join(signs.withColumn("label", F.col("doc_id")), "doc_id")
+    found = settle(tasks.groupBy("task").applyInArrow(_tree_pairs(percent), "a long, b long").distinct())
+    linked = settle(verified(single, found, percent))
+    return linked.selectExpr("a AS rep", "b AS near").unionAll(linked.selectExpr("b AS rep", "a AS near")), sets
+
+
+def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_links: to how many other documents each document links, connected or not.
+
+    Documents with one set are counted by their set; only those with several are listed.
+    """
+    linked, sets = links(docs, percent)
+    reach = settle(linked.unionAll(sets.selectExpr("rep", "rep AS near").distinct()))
+    several = settle(sets.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id"))
+    alone, many = sets.join(several, "doc_id", "left_anti"), sets.join(several, "doc_id", "left_semi")
+
+    def counted(starts: DataFrame) -> DataFrame:
+        near = settle(starts.join(reach, "rep").select("owner", "near").distinct())
+        ones = near.join(alone.groupBy(F.col("rep").alias("near")).agg(F.count("*").alias("n")), "near").groupBy("owner").agg(F.sum("n").alias("ones"))
+        others = near.join(many.select(F.col("rep").alias("near"), "doc_id"), "near").groupBy("owner").agg(F.count_distinct("doc_id").alias("others"))
+        return ones.join(others, "owner", "full").select("owner", (F.coalesce("ones", F.lit(0)) + F.coalesce("others", F.lit(0)) - 1).alias("n_links"))
+
+    by_set = alone.join(counted(alone.selectExpr("rep AS owner", "rep").distinct()).withColumnRenamed("owner", "rep"), "rep").select("doc_id", "n_links")
+    by_id = counted(many.selectExpr("doc_id AS owner", "rep")).withColumnRenamed("owner", "doc_id")
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    return ids.join(by_set.unionAll(by_id), "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without all but the smallest id of each component, and one row for each id.
 

@@ -197,3 +197,22 @@ def test_windows_by_merged_order(monkeypatch):
     want = {(m[1], w) for m in members for w in range(m[4]) if times[cut(m, w)] > 1}
     for most in (5, 1 << 20):
         assert {(n, w) for n, a, b in suffix_dedup.repeated_windows(members, 24, most) for w in range(a, b + 1)} == want != set()
+
+
+def _check_links(docs, rows):
+    sets = _sets([r for r in rows if r[0] is not None])
+    close = lambda p, q: p and q and 100 * len(p & q) >= 80 * len(p | q)
+    want = {a: sum(any(close(p, q) for p in sets[a] for q in sets[b]) for b in sets if b != a) for a in sets}
+    assert {r.doc_id: r.n_links for r in jaccard_join.link_counts(docs).collect()} == want
+    return want
+
+
+def test_links_between_connected_documents(make):
+    """All links of a family count, also between documents that are connected by others."""
+    rows = [*_family(3, 40, 6), (100, _family(3, 1, 0)[0][1]), (101, _family(3, 1, 0)[0][1]), (102, "alone"), (5, _family(4, 1, 0)[0][1]), (103, _family(4, 1, 0)[0][1])]
+    want = _check_links(make([(d, t, "en", "a") for d, t in rows]), rows)
+    assert max(want.values()) > 10 and len(set(want.values())) > 3 and want[102] == 0 and want[103] == 1
+
+
+def test_links_odd_rows(odd):
+    _check_links(odd, [(d, t) for d, t, *_ in ODD])
