@@ -4,7 +4,7 @@ Each line of a document is described by a few yes/no features; the field labels
 content or boilerplate together (Viterbi), and the share of words in content lines decides
 whether the document is kept. Base rules on whole documents come first.
 
-The field is trained here, by gradient ascent on the likelihood, from lines of at most
+The field is trained here, by gradient ascent on the likelihood, from all lines of at most
 `TRAIN_DOCS` labelled documents of the learning folds: lines of a document of quality 1 count
 as content, of quality 0 as boilerplate.
 
@@ -148,35 +148,45 @@ class Field:
 
     @classmethod
     def trained(cls, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.2, decay: float = 1e-3) -> Field:
-        """Forward-backward over sequences padded to one length, and Adam on the mean likelihood."""
+        """Forward-backward over whole sequences, and Adam on the mean likelihood.
+
+        Lines lie by their place: all first ones, then all second ones, the longest sequence
+        foremost, so that nothing is padded to the longest.
+        """
         field = cls()
+        sequences = sorted((s for s in sequences if len(s[1])), key=lambda s: -len(s[1]))
         if not sequences:
             return field
-        longest = max(len(y) for _, y in sequences)
-        x = np.zeros((len(sequences), longest, len(FEATURES)))
-        y = np.zeros((len(sequences), longest), int)
-        mask = np.zeros((len(sequences), longest), bool)
-        for k, (f, labels) in enumerate(sequences):
-            x[k, : len(labels)], y[k, : len(labels)], mask[k, : len(labels)] = f, labels, True
-        both = mask[:, 1:].astype(float)
-        seen_x = np.einsum("btf,bt->f", x, y * mask)
-        seen_m = np.array([[(both * (y[:, :-1] == a) * (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+        sizes = np.array([len(y) for _, y in sequences])
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+        begin = np.cumsum(active) - active
+        owner = np.concatenate([np.arange(n) for n in active])
+        place = np.repeat(np.arange(sizes[0]), active)
+        ends = begin[sizes - 1] + np.arange(len(sizes))
+        own = np.concatenate([begin[:n] + k for k, n in enumerate(sizes)])
+        x, y = np.empty((len(owner), len(FEATURES))), np.empty(len(owner), int)
+        x[own], y[own] = np.concatenate([f for f, _ in sequences]), np.concatenate([labels for _, labels in sequences])
+        after = np.arange(len(sizes), len(owner))
+        before = begin[place[after] - 1] + owner[after]
+        seen_x = x.T @ y
+        seen_m = np.array([[((y[before] == a) & (y[after] == b)).sum() for b in (0, 1)] for a in (0, 1)])
         theta, m, v = np.zeros(len(FEATURES) + 4), 0.0, 0.0
-        total = mask.sum()
+        total = len(owner)
         for step in range(1, rounds + 1):
             weights, moves = theta[:-4], theta[-4:].reshape(2, 2)
-            gain = np.stack([np.zeros(mask.shape), x @ weights], axis=2)
+            gain = np.stack([np.zeros(total), x @ weights], axis=1)
             ahead, behind = gain.copy(), np.zeros_like(gain)
-            for t in range(1, longest):
-                step_in = np.logaddexp(ahead[:, t - 1, :1] + moves[0], ahead[:, t - 1, 1:] + moves[1])
-                ahead[:, t] = np.where(mask[:, t, None], gain[:, t] + step_in, ahead[:, t - 1])
-            norm = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])[:, None]
-            for t in range(longest - 2, -1, -1):
-                inner = moves[None] + (gain[:, t + 1] + behind[:, t + 1])[:, None, :]
-                behind[:, t] = np.where(mask[:, t + 1, None], np.logaddexp(inner[..., 0], inner[..., 1]), 0.0)
-            share = np.exp(ahead + behind - norm[..., None])[..., 1] * mask
-            pair = np.exp(ahead[:, :-1, :, None] + moves + (gain + behind)[:, 1:, None, :] - norm[..., None, None]) * both[..., None, None]
-            grad = np.concatenate((seen_x - np.einsum("btf,bt->f", x, share), (seen_m - pair.sum((0, 1))).ravel())) / total - decay * theta
+            for t in range(1, sizes[0]):
+                last = ahead[begin[t - 1] : begin[t - 1] + active[t]]
+                ahead[begin[t] : begin[t] + active[t]] += np.logaddexp(last[:, :1] + moves[0], last[:, 1:] + moves[1])
+            norm = np.logaddexp(ahead[ends, 0], ahead[ends, 1])[owner]
+            for t in range(sizes[0] - 2, -1, -1):
+                following = slice(begin[t + 1], begin[t + 1] + active[t + 1])
+                inner = moves[None] + (gain[following] + behind[following])[:, None, :]
+                behind[begin[t] : begin[t] + active[t + 1]] = np.logaddexp(inner[..., 0], inner[..., 1])
+            share = np.exp(ahead + behind - norm[:, None])[:, 1]
+            pair = np.exp(ahead[before][:, :, None] + moves + (gain + behind)[after][:, None, :] - norm[after][:, None, None])
+            grad = np.concatenate((seen_x - x.T @ share, (seen_m - pair.sum(0)).ravel())) / total - decay * theta
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         field.weights, field.moves = theta[:-4], theta[-4:].reshape(2, 2)
@@ -194,8 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
         _, _, hit = base_counts(r["text"])
         x, _ = line_features(r["text"], hit)
         if len(x):
-            x, y = x[:200], np.full(min(len(x), 200), r["quality"])
-            sequences.append((x, y))
+            sequences.append((x, np.full(len(x), r["quality"])))
     return Field.trained(sequences)
 
 

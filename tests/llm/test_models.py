@@ -168,3 +168,32 @@ def test_toxicity_learns():
     got = scorer([*texts[300:], " ".join([*plain[:200], "vequend", *plain[:200]]), None, ""])
     assert np.mean((got[:100] >= 0.5) == np.array(y[300:])) > 0.95
     assert got[-1] == got[-2] < 0.5
+
+
+def test_field_learns_all_lines(spark, monkeypatch):
+    """Boilerplate at the end of a long training document, and its last line, are learnt too."""
+    seen = []
+    monkeypatch.setattr(quality_crf.Field, "trained", classmethod(lambda cls, sequences: seen.extend(sequences)))
+    text = "".join(f"line {k}\n" for k in range(300)) + "| menu | end |"
+    docs = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
+    quality_crf.learn(docs, spark.createDataFrame([(k, 0) for k in range(20)], "doc_id long, quality int"))
+    assert seen and all(len(x) == len(y) == 301 and x[-1][quality_crf.FEATURES.index("last")] for x, y in seen)
+
+
+def test_field_of_uneven_sequences():
+    """Where training ends, the likelihood's slope, found here by all labellings, is the decay's."""
+    rng = np.random.default_rng(1)
+    width = len(quality_crf.FEATURES)
+    sequences = [(rng.integers(0, 2, (n, width)).astype(float), rng.integers(0, 2, n)) for n in (2, 5, 1, 4)]
+
+    def likelihood(theta):
+        weights, moves, total = theta[:-4], theta[-4:].reshape(2, 2), 0.0
+        for x, y in sequences:
+            score = lambda labels, x=x: float(x @ weights @ labels) + sum(moves[a, b] for a, b in zip(labels, labels[1:], strict=False))
+            total += score(y) - np.log(sum(np.exp(score(np.array([k >> b & 1 for b in range(len(y))]))) for k in range(1 << len(y))))
+        return total / sum(len(y) for _, y in sequences)
+
+    field = quality_crf.Field.trained(sequences, rounds=3000, rate=0.02, decay=0.05)
+    theta = np.concatenate((field.weights, field.moves.ravel()))
+    slope = [(likelihood(theta + step) - likelihood(theta - step)) / 2e-5 for step in np.eye(len(theta)) * 1e-5]
+    assert np.allclose(slope, 0.05 * theta, atol=2e-3)
