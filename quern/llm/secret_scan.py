@@ -204,13 +204,26 @@ def _vote(tree, value) -> Column:
     return F.when(value(FEATURES[tree[0]]) <= tree[1], _vote(tree[2], value)).otherwise(_vote(tree[3], value))
 
 
-def candidates(text: Column, path: Column, forest: list) -> Column:
-    """An array with a row for each run of a text: run, gap before it, whether lively, votes of the trees."""
+def pieces_of(text: Column) -> Column:
+    """The gaps of a text, each with the run after it."""
+    return F.zip_with(F.split(text, RUN), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda gap, run: F.concat(gap, F.coalesce(run, F.lit(""))))
+
+
+def candidates(text: Column, path: Column, forest: list, pieces: Column | None = None) -> Column:
+    """An array with a row for each run of a text: run, whether lively, votes of the trees.
+
+    The words before a run are those of its gap, as in the SQL; with `pieces` (those of the
+    text), those of the text, so that a long name before a value is seen.
+    """
     gaps = F.split(text, RUN)
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
 
     def seen(run: Column, k: Column) -> Column:
-        before = F.right(F.element_at(gaps, k + 1), F.lit(BEFORE))
+        before = F.element_at(gaps, k + 1)
+        if pieces is not None:
+            most = -(-BEFORE // 16)  # runs have 16 characters at least
+            before = F.concat(F.array_join(F.slice(pieces, F.greatest(k - most + 1, F.lit(1)), F.least(k, F.lit(most))), ""), before)
+        before = F.right(before, F.lit(BEFORE))
         lively = run.rlike(LIVELY)
         return F.struct(run.alias("run"), lively.alias("lively"), F.when(lively, F.struct(*[v.alias(c) for c, v in feature_columns(run, before, path).items()])).alias("f"))
 
@@ -241,11 +254,12 @@ def redacted(text: Column, found: Column, trees: int) -> Column:
 
 
 def redact(docs: DataFrame, forest: list | None = None, text: str = "text", path: str = "source") -> DataFrame:
-    """docs with the secrets of `text` masked."""
+    """docs with the secrets of `text` masked; the words before a candidate are those of the text, runs included."""
     forest = default_forest() if forest is None else forest
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(path), F.lit("")).alias("path"))
-    rows = rows.withColumn("found", candidates(F.col("text"), F.col("path"), forest))
+    rows = rows.withColumn("pieces", pieces_of(F.col("text")))
+    rows = rows.withColumn("found", candidates(F.col("text"), F.col("path"), forest, F.col("pieces")))
     return rows.select(*[redacted(F.col("text"), F.col("found"), len(forest)).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns])
 
 

@@ -73,6 +73,14 @@ def test_masks(make):
     assert got[1] == 'words token = "[SECRET]" then [SECRET] and [SECRET] end' and got[2] == docs.where("doc_id = 2").first().text and got[3] == "[SECRET]"
 
 
+def test_masks_after_long_names(make):
+    """A name of 16 characters or more is a run itself; what it says of the value counts all the same."""
+    value = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    texts = [f"words aws_secret_access_key = {value} end", f"github_access_token: {value}", f"x_commit_checksum_of_it {value}", f"{'a' * 20} {'b' * 20} {'c' * 20} github_access_token: {value}"]
+    got = {r.doc_id: r.text for r in secret_scan.redact(make([(k, t, "en", "src1") for k, t in enumerate(texts)])).collect()}
+    assert [got[k] for k in range(4)] == [texts[2] if k == 2 else t.replace(value, "[SECRET]") for k, t in enumerate(texts)]
+
+
 def test_secrets_odd_rows(odd, make):
     got = secret_scan.redact(odd).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for d, t, *_ in ODD)
