@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,23 +26,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one, emptied at exit, only where the session names none."""
+    """The folder that all executors share. Where the session names none, a local one is made, but only if driver and executors are one process."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        local = f"{tempfile.gettempdir()}/quern-shared-{os.getpid()}"
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        folder = f"file://{local}"
-    return folder
+    if folder is not None:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    local = f"{tempfile.gettempdir()}/quern-shared-{os.getpid()}"
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return f"file://{local}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that settle() wrote for this application; results that read them must be written by then."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}")
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@functools.cache
+def _cleared_at_exit(application: str) -> None:
+    """A driver that ends in order leaves no tables: what could read them ends with it."""
+
+    def run() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone by now
+                clear(spark)
+
+    atexit.register(run)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back.
 
     The table can be read again after an executor is lost, and readers of it see the
-    same rows however often a task is retried.
+    same rows however often a task is retried. clear() deletes it, at the latest when the
+    driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    _cleared_at_exit(application)
+    path = f"{shared_dir(spark)}/quern-{application}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
