@@ -5,8 +5,12 @@ content or boilerplate together (Viterbi), and the share of words in content lin
 whether the document is kept. Base rules on whole documents come first.
 
 The field is trained here, by gradient ascent on the likelihood, from all lines of at most
-`TRAIN_DOCS` labelled documents of the learning folds: lines of a document of quality 1 count
-as content, of quality 0 as boilerplate.
+`TRAIN_DOCS` labelled documents of the learning folds. Only documents are labelled, not
+lines, so lines get weak labels: a line is content or boilerplate by the odds of its features
+between documents of quality 1 and 0, and a document's label holds for the share of its words
+(content on at least `KEEP_SHARE` where quality is 1, on less where it is 0), for which the
+least certain lines are turned. The field learnt from these labels them anew, under the same
+constraint, and is trained once more.
 
 Defined cases: a null text has no words and no lines: all counts 0, base_failed, not kept.
 Blank lines are not labelled. Without labels the field calls every line content. Repeated
@@ -147,8 +151,8 @@ class Field:
         return labels[::-1]
 
     @classmethod
-    def trained(cls, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.2, decay: float = 1e-3) -> Field:
-        """Forward-backward over whole sequences, and Adam on the mean likelihood.
+    def trained(cls, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.2, decay: float = 1e-3, start: Field | None = None) -> Field:
+        """Forward-backward over whole sequences, and Adam on the mean likelihood, from `start` on.
 
         Lines lie by their place: all first ones, then all second ones, the longest sequence
         foremost, so that nothing is padded to the longest.
@@ -170,7 +174,7 @@ class Field:
         before = begin[place[after] - 1] + owner[after]
         seen_x = x.T @ y
         seen_m = np.array([[((y[before] == a) & (y[after] == b)).sum() for b in (0, 1)] for a in (0, 1)])
-        theta, m, v = np.zeros(len(FEATURES) + 4), 0.0, 0.0
+        theta, m, v = np.zeros(len(FEATURES) + 4) if start is None else np.concatenate((start.weights, start.moves.ravel())), 0.0, 0.0
         total = len(owner)
         for step in range(1, rounds + 1):
             weights, moves = theta[:-4], theta[-4:].reshape(2, 2)
@@ -193,19 +197,59 @@ class Field:
         return field
 
 
+def line_odds(pages: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 200, decay: float = 1e-2) -> np.ndarray:
+    """Weights of the features by which lines of good documents differ from those of bad ones, both kinds counted alike."""
+    every = np.concatenate([x for x, _, _ in pages])
+    quality = np.repeat([q for *_, q in pages], [len(x) for x, _, _ in pages])
+    kinds, of = np.unique(every, axis=0, return_inverse=True)  # few: features are 0 or 1
+    good, bad = (np.bincount(of.ravel()[quality == q], minlength=len(kinds)).astype(float) for q in (1, 0))
+    good, bad = good / max(good.sum(), 1), bad / max(bad.sum(), 1)
+    theta, m, v = np.zeros(len(FEATURES)), 0.0, 0.0
+    for step in range(1, rounds + 1):
+        share = 1 / (1 + np.exp(-kinds @ theta))
+        grad = kinds.T @ (good * (1 - share) - bad * share) - decay * theta
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        theta = theta + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return theta
+
+
+def constrained(labels: np.ndarray, odds: np.ndarray, sizes: np.ndarray, quality: int, share: float = KEEP_SHARE) -> np.ndarray:
+    """labels with the least certain lines turned until the share of words in content lines is what the document's label says."""
+    labels = labels.copy()
+    content, total = int((labels * sizes).sum()), int(sizes.sum())
+    for k in np.argsort(-odds if quality else odds, kind="stable").tolist():
+        if (content >= share * total) == bool(quality):
+            break
+        if labels[k] != quality:
+            labels[k] = quality
+            content += int(sizes[k]) if quality else -int(sizes[k])
+    return labels
+
+
+def fitted(pages: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
+    """The field from pages of (features of the lines, words of the lines, quality)."""
+    if not pages:
+        return Field()
+    field = Field(line_odds(pages))
+    weak = [constrained((x @ field.weights >= 0).astype(int), x @ field.weights, sizes, q) for x, sizes, q in pages]
+    field = Field.trained([(x, y) for (x, _, _), y in zip(pages, weak, strict=True)], rounds=80)
+    weak = [constrained(np.array(field.viterbi(x)), x @ field.weights, sizes, q) for x, sizes, q in pages]
+    return Field.trained([(x, y) for (x, _, _), y in zip(pages, weak, strict=True)], rounds=70, start=field)
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
     """The field from a sample of labelled documents, bounded in rows and in characters a row."""
     marked = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     drawn = marked.orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality")), "doc_id", "quality").limit(most)
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS))
     rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").limit(2 * most).collect()  # drawn is at most `most` rows
-    sequences = []
+    pages = []
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["text"])):
         _, _, hit = base_counts(r["text"])
-        x, _ = line_features(r["text"], hit)
+        x, sizes = line_features(r["text"], hit)
         if len(x):
-            sequences.append((x, np.full(len(x), r["quality"])))
-    return Field.trained(sequences)
+            pages.append((x, sizes, r["quality"]))
+    return fitted(pages)
 
 
 def _judge(field: Field, keep_share: float):
