@@ -9,8 +9,11 @@
 3. In a block, ids are joined to the positions, bytes to the ids by the token-byte table
    (fixed, about 50,000 rows), and the document is put together in order.
 
-Only words of a block and codes move, never texts. The cut into blocks follows the order of
-rows in a scan partition, which is the same for both passes over the table.
+Only words of a block and codes move, never texts. Both passes over the table cut it into
+blocks by the order of rows in a partition. A scan of files has the same order however often
+a task is tried; any other input is written to the shared folder first and scanned from
+there. Both passes hash the words of each block in their order, and a block whose hashes
+differ raises an error, so that no order can give wrong ids.
 
 Defined cases: a null text is the empty text: no ids, SHA-256 of nothing. Repeated rows each
 give a row. A null doc_id is kept. An empty table gives none. Other columns are ignored.
@@ -28,10 +31,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import slices, small_batches
+from quern.llm.common import settle, slices, small_batches
 
 #: Pre-tokens in a block; bounds the memory of a Python worker.
 BLOCK_TOKENS = 6_000_000
@@ -39,13 +43,13 @@ BLOCK_TOKENS = 6_000_000
 #: Buckets of words for each shuffle partition; bounds the words that a task holds at once.
 BUCKETS_EACH = 8
 
-_WORDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
+_WORDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("digest", pa.binary()), ("codes", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
 _CODES = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary())])
-_BACK = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+_BACK = pa.schema([("block", pa.int64()), ("digest", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-WORDS_DDL = "block long, bucket int, codes binary, sizes binary, words binary"
+WORDS_DDL = "block long, bucket int, digest binary, codes binary, sizes binary, words binary"
 CODES_DDL = "block long, row int, doc_id long, codes binary"
-BACK_DDL = "block long, codes binary, counts binary, ids binary"
+BACK_DDL = "block long, digest binary, codes binary, counts binary, ids binary"
 OUT_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -140,6 +144,16 @@ def _blocks(source: Iterator[pa.RecordBatch], pattern: str, block_tokens: int):
         yield block, words, True, first, pa.array([], pa.int64()), []
 
 
+def _digest(words: _Codes) -> bytes:
+    """A hash of a block's words in the order of their codes."""
+    h = hashlib.blake2b(digest_size=16)
+    for w in words:
+        raw = w.encode()
+        h.update(len(raw).to_bytes(4, "little"))
+        h.update(raw)
+    return h.digest()
+
+
 def _words(pattern: str, block_tokens: int, buckets: int):
     """The distinct words of each block, in a row for each bucket of words that it has any of."""
 
@@ -156,7 +170,7 @@ def _words(pattern: str, block_tokens: int, buckets: int):
             codes, code_ends = pack_codes(order)
             raw = [raw[k] for k in order.tolist()]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(first), block)), pa.array(bucket[order][first].astype(np.int32)),
+                pa.array(np.full(len(first), block)), pa.array(bucket[order][first].astype(np.int32)), pa.array([_digest(words)] * len(first), pa.binary()),
                 _cut(codes, code_ends, cuts), _cut(sizes, size_ends, cuts), pa.array([b"".join(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
             ], schema=_WORDS)
 
@@ -164,13 +178,17 @@ def _words(pattern: str, block_tokens: int, buckets: int):
 
 
 def _codes(pattern: str, block_tokens: int):
+    """A row for each document, and one of number -1 with the block's digest."""
+
     def run(source):
-        for block, _, _, first, ids, own in _blocks(source, pattern, block_tokens):
+        for block, words, ends, first, ids, own in _blocks(source, pattern, block_tokens):
             if own:
                 sizes = np.fromiter(map(len, own), np.int64, len(own))
-                packed, ends = pack_codes(np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())))
+                packed, at = pack_codes(np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())))
                 cuts = [0, *np.cumsum(sizes).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(first, first + len(own), dtype=np.int32)), ids, _cut(packed, ends, cuts)], schema=_CODES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(first, first + len(own), dtype=np.int32)), ids, _cut(packed, at, cuts)], schema=_CODES)
+            if ends and words:
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([_digest(words)], pa.binary())], schema=_CODES)
 
     return run
 
@@ -186,7 +204,7 @@ def _encode_words(path: str, pattern: str):
         last, known = None, {}
         for batch in source:
             counts, found = [], []
-            for bucket, sizes, words in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
+            for bucket, sizes, words in zip(*(batch.column(k).to_pylist() for k in (1, 4, 5)), strict=True):
                 if bucket != last:
                     last, known = bucket, {}
                 at, own = 0, []
@@ -200,7 +218,7 @@ def _encode_words(path: str, pattern: str):
                     own.append(ids)
                 counts.append(pack_codes(np.fromiter((n for n, _ in own), np.uint32, len(own)))[0])
                 found.append(b"".join([ids for _, ids in own]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.binary()), pa.array(found, pa.binary())], schema=_BACK)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(counts, pa.binary()), pa.array(found, pa.binary())], schema=_BACK)
 
     return run
 
@@ -213,6 +231,10 @@ def _reassemble(path: str):
         said_one, bytes_one = np.empty(max(table.values()) + 1, object), np.empty(max(table.values()) + 1, object)
         for token, rank in table.items():
             said_one[rank], bytes_one[rank] = str(rank), token
+        documents = pc.greater_equal(codes.column("row"), 0)
+        if set(codes.filter(pc.invert(documents)).column("codes").to_pylist()) != set(words.column("digest").to_pylist()):
+            raise RuntimeError("two passes over the documents saw their rows in another order")
+        codes = codes.filter(documents)
         code, count, ids = (unpack_codes(b"".join(words.column(c).to_pylist())) for c in ("codes", "counts", "ids"))
         ends = np.cumsum(count).tolist()
         starts = [0, *ends[:-1]]
@@ -232,9 +254,13 @@ def _reassemble(path: str):
     return run
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, block_tokens: int = BLOCK_TOKENS, scanned: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256.
+
+    `scanned` says that docs is a plain scan of files; any other input is written first.
+    """
     texts = small_batches(docs).select("doc_id", "text")
+    texts = texts if scanned else settle(texts)
     buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     codes = texts.mapInArrow(_codes(pattern, block_tokens), CODES_DDL)
     words = texts.mapInArrow(_words(pattern, block_tokens, buckets), WORDS_DDL)
