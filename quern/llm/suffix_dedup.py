@@ -8,15 +8,20 @@ suffixes would move each byte hundreds of times, so suffixes are sorted where it
    their anchor; the windows of an anchor all hold the same `core` bytes from it on.
 2. Anchors are shuffled by a hash of the core, in buckets of packed records. An anchor whose
    core occurs once has no repeated window. Anchors whose whole neighbourhood (all bytes of
-   all their windows) is equal are repeated throughout. What remains are anchors with equal
-   cores and different neighbourhoods: the edges of repeated passages.
+   all their windows) is equal are repeated throughout; equal ones of a few MB of text are
+   sent once, the others as what they cover. What remains are anchors with equal cores and
+   different neighbourhoods: the edges of repeated passages.
 3. The suffixes from these anchors are sorted: each task sorts a run, front-codes it (length
    of the prefix shared with the suffix before, and the rest), and sends its part of each
    range. A range merges its runs with a loser tree that keeps the shared prefix of every
    loser with its winner, so no byte known to be equal is compared again. Suffixes that share
    a core now lie together. Their windows are equal where the merged order's common prefixes
    reach the window's end and the bytes before the anchors, ordered from there, are the same.
-4. The intervals found are united in each text and cut out.
+4. Cores with more than HOT_EDGES neighbourhoods (the footer of a large site) would all meet
+   in one range. Their windows are dealt by two hashes of the whole window instead: counts are
+   summed before they are shuffled, and windows met twice are joined back. Cores that a sample
+   finds on so many pages that their records would fill a task go there at once.
+5. The intervals found are united in each text and cut out.
 
 Texts that occur more than once are removed whole (if they have `width` bytes) and sorted once.
 
@@ -49,13 +54,19 @@ BUCKETS_EACH = 4
 #: Suffixes of a run, and texts that the ranges are cut by.
 RUN = 30_000
 SAMPLE_TEXTS = 2000
+SAMPLE_HEADS = 50_000
+#: Neighbourhoods of one core that meet in one range, about 600 bytes each.
+HOT_EDGES = 20_000
+#: Anchors of one core, as a sample has it, that meet in one task, 31 bytes each; and how often the sample must hold it.
+HOT_ANCHORS = 2_000_000
+HOT_SEEN = 3
 #: Windows found that a task holds at once.
 WINDOWS = 1 << 19
 #: Keys that may be broadcast, about 40 bytes each.
 BROADCAST_KEYS = 200_000
 
 _RECORD = np.dtype([("core", "<u8"), ("whole", "<u8"), ("key", "V16"), ("low", "<u4"), ("wide", "u1"), ("at", "u1"), ("kind", "u1")])
-_POSTING, _COVER = 0, 1
+_POSTING, _COVER, _HOT = 0, 1, 2
 
 
 @functools.lru_cache(maxsize=1)
@@ -131,9 +142,9 @@ def _buffers(texts: list[bytes], width: int):
 
 
 def records(keys: list[bytes], texts: list[bytes], width: int = WIDTH, span: int = SPAN) -> np.ndarray:
-    """A posting for each anchor; stretches that a text itself repeats are covers but for the first."""
+    """A posting for each anchor; of those with equal neighbourhoods one posting, and covers for all."""
     core = width - span + 1
-    found = []
+    found = [np.empty(0, _RECORD)]
     names = np.array(keys, "V16") if keys else np.empty(0, "V16")
     for buf, places in _buffers(texts, width):
         low, high, at = anchors(buf, [p[2:] for p in places], width, span)
@@ -144,27 +155,34 @@ def records(keys: list[bytes], texts: list[bytes], width: int = WIDTH, span: int
         own = np.empty(len(low), _RECORD)
         own["core"] = h.of(at, at + core)
         own["whole"] = h.of(low, high + width) ^ (h.of(low, high + width, 1) >> np.uint64(1)) ^ (at - low).astype(np.uint64)
-        text = np.array([p[0] for p in places])[place]
-        own["key"] = names[text]
+        own["key"] = names[np.array([p[0] for p in places])[place]]
         own["low"] = low - np.array([p[2] - p[1] for p in places])[place]
         own["wide"], own["at"], own["kind"] = high - low, at - low, _POSTING
-        order = np.lexsort((own["low"], own["whole"], own["core"], text))
-        same = (own["core"][order][1:] == own["core"][order][:-1]) & (own["whole"][order][1:] == own["whole"][order][:-1]) & (text[order][1:] == text[order][:-1])
-        extra = own[order[1:][same]]
-        covers = own[order[np.unique(np.concatenate((np.flatnonzero(same), np.flatnonzero(same) + 1)))]].copy() if len(extra) else extra
-        covers["kind"] = _COVER
-        keep = np.ones(len(own), bool)
-        keep[order[1:][same]] = False
-        found += [own[keep], covers]
-    return np.concatenate(found) if found else np.empty(0, _RECORD)
-
-
-def _post(width: int, span: int, buckets: int):
+        found.append(own)
+    own = np.concatenate(found)
+    own = own[np.lexsort((own["whole"], own["core"]))]
+    same = (own["core"][1:] == own["core"][:-1]) & (own["whole"][1:] == own["whole"][:-1])
+    covers = own[np.unique(np.concatenate((np.flatnonzero(same), np.flatnonzero(same) + 1)))].copy()
+    covers["kind"] = _COVER
+    return np.concatenate((own[np.concatenate(([True], ~same))[: len(own)]], covers))
+
+
+def _within(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in `some`, an ascending array."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _post(width: int, span: int, buckets: int, hot: np.ndarray):
+    """Packed records by bucket. Those of hot cores are dealt by their texts, to buckets of their own."""
     schema = pa.schema([("bucket", pa.int32()), ("records", pa.binary())])
 
     def packed(keys, texts):
         own = records(keys, texts, width, span)
         bucket = (own["core"] % np.uint64(buckets)).astype(np.int32)
+        spread = _within(own["core"], hot)
+        bucket[spread] = buckets + (np.ascontiguousarray(own["key"][spread]).view("<u8").reshape(-1, 2)[:, 0] % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         own, bucket = own[order], bucket[order]
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(own) else np.empty(0, np.int64)
@@ -190,8 +208,8 @@ def _post(width: int, span: int, buckets: int):
     return run
 
 
-def judged(own: np.ndarray) -> np.ndarray:
-    """Of a bucket's records: covers, and one posting for each of the neighbourhoods that share a core."""
+def judged(own: np.ndarray, most: int) -> np.ndarray:
+    """Of a bucket's records: covers, and one posting for each of the neighbourhoods that share a core; hot if they are more than `most`."""
     covers, posts = own[own["kind"] == _COVER], own[own["kind"] == _POSTING]
     if not len(posts):
         return covers
@@ -200,35 +218,62 @@ def judged(own: np.ndarray) -> np.ndarray:
     new_class = new_core | np.concatenate(([True], posts["whole"][1:] != posts["whole"][:-1]))
     class_of, core_of = np.cumsum(new_class) - 1, np.cumsum(new_core) - 1
     twice = np.bincount(class_of)[class_of] > 1
-    mixed = np.bincount(core_of[new_class])[core_of] > 1
+    classes = np.bincount(core_of[new_class])[core_of]
     again = posts[twice].copy()
     again["kind"] = _COVER
-    return np.concatenate((covers, again, posts[new_class & mixed]))
+    posts["kind"][classes > most] = _HOT
+    return np.concatenate((covers, again, posts[new_class & (classes > 1)]))
 
 
-_FOUND_DDL = "key binary, low long, high long, at long, cover boolean"
-_FOUND = pa.schema([("key", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("at", pa.int64()), ("cover", pa.bool_())])
+_FOUND_DDL = "key binary, low long, high long, at long, kind int"
+_FOUND = pa.schema([("key", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("at", pa.int64()), ("kind", pa.int32())])
 
 
-def _judge(source):
-    """Rows come sorted by bucket. high: the last window of the stretch."""
+def _judge(buckets: int, most: int):
+    """Rows come sorted by bucket; those from `buckets` on are of hot cores and aren't put together. high: the last window of the stretch."""
 
-    def rows():
-        own = judged(np.frombuffer(b"".join(parts), _RECORD))
+    def rows(own: np.ndarray):
         keys = own["key"].tobytes()
         low = own["low"].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([keys[k : k + 16] for k in range(0, len(keys), 16)], pa.binary()), pa.array(low), pa.array(low + own["wide"]), pa.array(low + own["at"]), pa.array(own["kind"] == _COVER)], schema=_FOUND)
-
-    last, parts = None, []
-    for batch in source:
-        for bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != last and parts:
-                yield rows()
-                parts = []
-            last = bucket
-            parts.append(packed)
-    if parts:
-        yield rows()
+        return pa.RecordBatch.from_arrays([pa.array([keys[k : k + 16] for k in range(0, len(keys), 16)], pa.binary()), pa.array(low), pa.array(low + own["wide"]), pa.array(low + own["at"]), pa.array(own["kind"].astype(np.int32))], schema=_FOUND)
+
+    def run(source):
+        last, parts = None, []
+        for batch in source:
+            for bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket >= buckets:
+                    own = np.frombuffer(packed, _RECORD).copy()
+                    own["kind"][own["kind"] == _POSTING] = _HOT
+                    yield rows(own)
+                    continue
+                if bucket != last and parts:
+                    yield rows(judged(np.frombuffer(b"".join(parts), _RECORD), most))
+                    parts = []
+                last = bucket
+                parts.append(packed)
+        if parts:
+            yield rows(judged(np.frombuffer(b"".join(parts), _RECORD), most))
+
+    return run
+
+
+_WINDOW_DDL = "one long, two long, key binary, low long"
+_WINDOW = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("key", pa.binary()), ("low", pa.int64())])
+
+
+def _hot_windows(width: int):
+    """Two hashes of each window of the stretches in `places`."""
+
+    def run(source):
+        for batch in source:
+            for key, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = (text or "").encode()
+                for p in places:
+                    h = Hashes(np.frombuffer(raw[p["low"] : p["high"] + width], np.uint8))
+                    at = np.arange(p["high"] - p["low"] + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.of(at, at + width).view(np.int64)), pa.array(h.of(at, at + width, 1).view(np.int64)), pa.array([key] * len(at), pa.binary()), pa.array(at + p["low"])], schema=_WINDOW)
+
+    return run
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -424,7 +469,7 @@ def _merge(width: int, span: int):
                 last = (*own, group)
             else:
                 last = (*own, None)
-        found = [(names[n][0], names[n][1] + a, names[n][1] + b, 0, True) for n, a, b in repeated_windows(members, width, known=prefixes)]
+        found = [(names[n][0], names[n][1] + a, names[n][1] + b, 0, _COVER) for n, a, b in repeated_windows(members, width, known=prefixes)]
         columns = list(zip(*found, strict=True)) or [[] for _ in _FOUND]
         del runs, lefts, members, names, prefixes, found
         give_back()
@@ -463,25 +508,35 @@ def _cut_out(width: int):
     return run
 
 
-def _heads(width: int, span: int):
+def _drawn(width: int, span: int):
+    """The heads of the suffixes at the anchors of some texts, and the hashes of their cores."""
+    core = width - span + 1
+
     def run(source):
         for batch in source:
-            texts = [(t or "").encode()[: BUFFER // 8] for t in batch.column(0).to_pylist()]
-            heads = []
-            for buf, places in _buffers(texts, width):
-                raw = buf.tobytes()
-                heads += [raw[p : p + 32] for p in anchors(buf, [x[2:] for x in places], width, span)[2].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(heads[::8], pa.binary())], names=["head"])
+            for (text,) in zip(batch.column(0).to_pylist(), strict=True):
+                heads, cores = [], []
+                for buf, places in _buffers([(text or "").encode()], width):
+                    raw, at = buf.tobytes(), anchors(buf, [x[2:] for x in places], width, span)[2]
+                    heads += [raw[p : p + 32] for p in at.tolist()]
+                    cores.append(Hashes(buf).of(at, at + core).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array(np.concatenate([*cores, np.empty(0, np.int64)]))], names=["head", "core"])
 
     return run
 
 
-def splitters(texts: DataFrame, total: int, ranges: int, width: int, span: int) -> list[bytes]:
-    """Bounds of ranges with about as many anchors each, from a bounded sample; they only balance the work."""
-    share = int((1 << 30) * min(1.0, SAMPLE_TEXTS / max(total, 1)))
-    drawn = texts.where(F.pmod(F.xxhash64("key", F.lit("suffixes")), F.lit(1 << 30)) < share).select("text")
-    heads = sorted(r["head"] for r in drawn.mapInArrow(_heads(width, span), "head binary").limit(50_000).collect())
-    return sorted({bytes(heads[k * len(heads) // ranges]) for k in range(1, ranges)}) if heads else []
+def sampled(texts: DataFrame, total: int, ranges: int, width: int, span: int) -> tuple[list[bytes], np.ndarray]:
+    """Bounds of ranges with about as many anchors each, and cores of so many anchors that a task should not hold them, from a bounded sample.
+
+    Neither changes a result: bounds only balance the work, and hot cores are only treated another way.
+    """
+    share = min(1.0, SAMPLE_TEXTS / max(total, 1))
+    drawn = texts.where(F.pmod(F.xxhash64("key", F.lit("suffixes")), F.lit(1 << 30)) < int((1 << 30) * share)).select("text")
+    drawn = settle(drawn.mapInArrow(_drawn(width, span), "head binary, core long"))
+    heads = sorted(r["head"] for r in drawn.select("head").orderBy(F.xxhash64("head"), "head").limit(SAMPLE_HEADS).collect())
+    bounds = sorted({bytes(heads[k * len(heads) // ranges]) for k in range(1, ranges)}) if heads else []
+    counts = drawn.groupBy("core").agg(F.count("*").alias("n")).where((F.col("n") >= HOT_SEEN) & (F.col("n") >= HOT_ANCHORS * share))
+    return bounds, np.sort(np.array([r["core"] for r in counts.orderBy(F.desc("n"), "core").limit(SAMPLE_HEADS).collect()], np.int64).view(np.uint64))
 
 
 def remove(docs: DataFrame, width: int = WIDTH, span: int = SPAN) -> DataFrame:
@@ -500,16 +555,26 @@ def remove(docs: DataFrame, width: int = WIDTH, span: int = SPAN) -> DataFrame:
     texts = rows.join(listed(spare), (rows["key"] == spare["key"]) & (rows["doc_id"] == spare["spare_id"]), "left_anti").select("key", "text")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = texts.mapInArrow(_post(width, span, BUCKETS_EACH * parts), "bucket int, records binary")
-    found = settle(posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge, _FOUND_DDL))
-
-    edges = found.where("NOT cover").groupBy("key").agg(F.collect_list(F.struct("low", "high", "at")).alias("places"))
-    some = rows.select("key", "text").join(listed(found.where("NOT cover").select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-    bounds = splitters(texts, narrow.count(), 2 * parts, width, span)
-    runs = some.join(edges, "key").select("key", "text", "places").mapInArrow(_runs(bounds, width), _RUN_DDL)
+    buckets = BUCKETS_EACH * parts
+    bounds, hot = sampled(texts, narrow.count(), 2 * parts, width, span)
+    posted = texts.mapInArrow(_post(width, span, buckets, hot), "bucket int, records binary")
+    found = settle(posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(buckets, HOT_EDGES), _FOUND_DDL))
+
+    def with_places(kind: int) -> DataFrame:
+        own = found.where(F.col("kind") == kind)
+        edges = own.groupBy("key").agg(F.collect_list(F.struct("low", "high", "at")).alias("places"))
+        some = rows.select("key", "text").join(listed(own.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+        return some.join(edges, "key").select("key", "text", "places")
+
+    runs = with_places(_POSTING).mapInArrow(_runs(bounds, width), _RUN_DDL)
     merged = settle(runs.groupBy("range").applyInArrow(_merge(width, span), _FOUND_DDL))
+    if not found.where(F.col("kind") == _HOT).isEmpty():
+        each = settle(with_places(_HOT).mapInArrow(_hot_windows(width), _WINDOW_DDL))
+        twice = settle(each.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"))
+        again = each.join(listed(twice), ["one", "two"], "left_semi")
+        merged = merged.unionAll(again.select("key", "low", F.col("low").alias("high"), F.lit(0).cast("long").alias("at"), F.lit(_COVER).alias("kind")))
 
-    covers = found.where("cover").unionAll(merged).join(listed(copies.select("key")), "key", "left_anti")
+    covers = found.where(F.col("kind") == _COVER).unionAll(merged).join(listed(copies.select("key")), "key", "left_anti")
     covers = settle(covers.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("intervals")))
     hit = rows.select("key", "text").join(listed(covers.select("key")), "key", "left_semi")
     cut = settle(hit.join(covers, "key").select("key", "text", "intervals").mapInArrow(_cut_out(width), _CUT_DDL))
