@@ -8,7 +8,8 @@ A document is the set of its five-word shingles, as 64-bit hashes; two sets link
    first n - ceil(0.8 n) + 1. Representatives are posted under these tokens (rare ones first:
    tokens that a bounded sample finds frequent are moved to the end of the order, which keeps
    blocks small and cannot lose a pair). Tokens are shuffled by hash buckets; a token's
-   posters are a block, and equal blocks become one.
+   posters are a block, and equal blocks become one. Tokens of which the sample expects more
+   than HOT_POSTERS posters are dealt by their posters instead, and put together nowhere.
 3. Stars: in each block every member is compared with the member that is in most blocks. The
    links found connect most copies of one text at once, by one comparison each.
 4. Trees: signature trees find what is left. Nodes hold the OR of their members' token bitmaps
@@ -58,6 +59,8 @@ HUB = 8
 #: Rows of ids that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 500_000
 BUCKETS_EACH = 4
+#: Posters of a token, as the sample has it, that are put together in one task: 16 bytes each.
+HOT_POSTERS = 1_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -84,9 +87,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Rare tokens by hash, then frequent ones by hash."""
-    if not len(frequent):
-        return tokens
-    common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+    common = _within(tokens, frequent)
     return np.concatenate((tokens[~common], tokens[common]))
 
 
@@ -144,18 +145,28 @@ def _sampled_tokens(source):
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
 
 
-def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Tokens of at least FREQUENT_AT documents of a sample, MOST_FREQUENT at most, ascending."""
+def frequent_tokens(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of at least FREQUENT_AT documents of a sample, MOST_FREQUENT at most, ascending; and those of them that are hot."""
     total = docs.select("doc_id").count()
     if not total:
-        return np.empty(0, np.uint64)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("shingles")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    share = min(1.0, sample / total)
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("shingles")), F.lit(1 << 30)) < int((1 << 30) * share)
     counts = docs.where(draw).select("text").mapInArrow(_sampled_tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_AT)
-    return np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64))
+    found = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
+    tokens, hot = ([r["token"] for r in found if r["n"] > least * share] for least in (0, HOT_POSTERS))
+    return tuple(np.sort(np.array(x, np.int64).view(np.uint64)) for x in (tokens, hot))
 
 
-def _postings(buckets: int):
-    """(bucket, tokens, doc_ids, sizes): the tokens of a few thousand documents, by bucket."""
+def _within(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in `some`, an ascending array."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _postings(buckets: int, hot: np.ndarray):
+    """(bucket, tokens, doc_ids, sizes): the tokens of a few thousand documents, by bucket; hot tokens by document, in buckets of their own."""
     schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary())])
 
     def run(source):
@@ -166,7 +177,7 @@ def _postings(buckets: int):
                 if not len(tokens):
                     continue
                 own = np.stack([piece.column(0).to_numpy(), piece.column(1).to_numpy()], axis=1)[np.repeat(np.arange(len(heads)), [len(h) for h in heads])]
-                bucket = (tokens % np.uint64(buckets)).astype(np.int32)
+                bucket = np.where(_within(tokens, hot), buckets + own[:, 0] % buckets, (tokens % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 first = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
                 cuts = np.append(first, len(tokens)).tolist()
@@ -200,13 +211,22 @@ def _block_rows(tokens: list[bytes], docs: list[bytes], percent: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(names), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["block", "doc_id", "n"])
 
 
-def _blocks(percent: int):
-    """Rows come sorted by bucket."""
+def _hot_rows(tokens: bytes, docs: bytes) -> pa.RecordBatch:
+    """Members of hot tokens' blocks, which are named by the tokens."""
+    own = np.frombuffer(docs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tokens, np.int64)), pa.array(own[:, 0]), pa.array(own[:, 1])], names=["block", "doc_id", "n"])
+
+
+def _blocks(percent: int, buckets: int):
+    """Rows come sorted by bucket; those from `buckets` on are of hot tokens and aren't put together."""
 
     def run(source):
         last, tokens, docs = None, [], []
         for batch in source:
             for bucket, t, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket >= buckets:
+                    yield _hot_rows(t, d)
+                    continue
                 if bucket != last and tokens:
                     yield _block_rows(tokens, docs, percent)
                     tokens, docs = [], []
@@ -402,13 +422,14 @@ def _may_link(percent: int):
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     docs = small_batches(docs).select("doc_id", "text")
-    rows = settle(docs.mapInArrow(_described(frequent_tokens(docs), percent), "doc_id long, n long, set_hash binary, prefix binary"))
+    frequent, hot = frequent_tokens(docs)
+    rows = settle(docs.mapInArrow(_described(frequent, percent), "doc_id long, n long, set_hash binary, prefix binary"))
     classes = settle(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
     reps = _of(rows.where("n > 0"), classes.select(F.col("rep").alias("doc_id")).distinct())
 
     buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = reps.select("doc_id", "n", "prefix").mapInArrow(_postings(buckets), "bucket int, tokens binary, docs binary")
-    posted = settle(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(percent), "block long, doc_id long, n long"))
+    postings = reps.select("doc_id", "n", "prefix").mapInArrow(_postings(buckets, hot), "bucket int, tokens binary, docs binary")
+    posted = settle(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(percent, buckets), "block long, doc_id long, n long"))
     degree = posted.groupBy("doc_id").agg(F.count("*").alias("degree"))
     blocks = settle(posted.dropDuplicates(["block", "doc_id"]).join(degree, "doc_id"))
     signs = settle(_of(docs, degree.select("doc_id")).mapInArrow(_signs, "doc_id long, n long, bits binary").dropDuplicates(["doc_id"]))
@@ -440,15 +461,16 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     """
     numbered = settle(small_batches(docs).where("doc_id IS NOT NULL").select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
     single = numbered.select(F.col("row").alias("doc_id"), "text")  # each row is a document with one set
-    rows = settle(single.mapInArrow(_described(frequent_tokens(single), percent), "doc_id long, n long, set_hash binary, prefix binary").where("n > 0"))
+    frequent, hot = frequent_tokens(single)
+    rows = settle(single.mapInArrow(_described(frequent, percent), "doc_id long, n long, set_hash binary, prefix binary").where("n > 0"))
     classes = settle(rows.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
     of_row = rows.join(classes, "set_hash").select(F.col("doc_id").alias("row"), "rep")
     sets = settle(numbered.select("doc_id", "row").join(of_row, "row").select("doc_id", "rep").distinct())
 
     buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps = _of(rows, classes.select(F.col("rep").alias("doc_id")))
-    postings = reps.select("doc_id", "n", "prefix").mapInArrow(_postings(buckets), "bucket int, tokens binary, docs binary")
-    posted = postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(percent), "block long, doc_id long, n long")
+    postings = reps.select("doc_id", "n", "prefix").mapInArrow(_postings(buckets, hot), "bucket int, tokens binary, docs binary")
+    posted = postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(percent, buckets), "block long, doc_id long, n long")
     blocks = settle(posted.dropDuplicates(["block", "doc_id"]).withColumn("label", F.col("doc_id")))
     signs = settle(_of(single, blocks.select("doc_id").distinct()).mapInArrow(_signs, "doc_id long, n long, bits binary"))
     tasks = _tasks(blocks, PART).join(signs.withColumn("label", F.col("doc_id")), "doc_id")
@@ -484,9 +506,10 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Rows without an id stay. Only ids that go, or that come more than once, are joined.
     """
-    gone = settle(join(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    twice = settle(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"))
+    columns = docs.columns
+    gone = settle(join(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct())
+    twice = settle(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"))
     gone, twice = (F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids for ids in (gone, twice))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    once = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.unionByName(kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    kept = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).join(gone, "id", "left_anti")
+    once = kept.join(twice, "id", "left_anti").unionByName(kept.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+    return once.select(*[F.col("row").getField(c).alias(c) for c in columns])
