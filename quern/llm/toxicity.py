@@ -74,12 +74,37 @@ def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, mixed[at], firsts
 
 
+class Vocabulary:
+    """Words that are hashed once: the bin of each, and the bins of its pieces in a row."""
+
+    def __init__(self, words: list[str]):
+        self.word, self.piece, self.firsts = hashes(words)
+        self.count = np.diff(np.append(self.firsts, len(self.piece)))
+
+    def pieces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of some words, where each word's begin, and how many it has."""
+        count = self.count[ids]
+        firsts = np.cumsum(count) - count
+        return self.piece[np.repeat(self.firsts[ids] - firsts, count) + np.arange(int(count.sum()))], firsts, count
+
+
 class Odds:
     """How much likelier toxic documents hold a word, or a piece of one, than expected."""
 
     def __init__(self, documents: list[list[str]], toxic: np.ndarray, prior: float = 4.0):
-        self.word = self._odds([np.unique(hashes(sorted(set(d)))[0] % WORD_BINS) for d in documents], toxic, WORD_BINS, prior)
-        self.piece = self._odds([np.unique(hashes(sorted(set(d)))[1] % PIECE_BINS) for d in documents], toxic, PIECE_BINS, prior)
+        known: dict[str, int] = {}
+        ids = [np.unique(np.fromiter((known.setdefault(w, len(known)) for w in d), np.int64, len(d))) for d in documents]
+        vocabulary = Vocabulary(list(known))
+        self.word = self._odds([np.unique(vocabulary.word[own] % WORD_BINS) for own in ids], toxic, WORD_BINS, prior)
+        self.piece = self._odds([np.unique(vocabulary.pieces(own)[0] % PIECE_BINS) for own in ids], toxic, PIECE_BINS, prior)
+
+    def of(self, vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
+        """Three numbers for each of some words: its own odds, the highest and the mean of its pieces'."""
+        if not len(ids):
+            return np.zeros((0, 3), np.float32)
+        piece, firsts, count = vocabulary.pieces(ids)
+        odds = self.piece[piece % PIECE_BINS]
+        return np.stack([self.word[vocabulary.word[ids] % WORD_BINS], np.maximum.reduceat(odds, firsts), np.add.reduceat(odds, firsts) / count.astype(np.float32)], axis=1)
 
     @staticmethod
     def _odds(bins: list[np.ndarray], toxic: np.ndarray, size: int, prior: float) -> np.ndarray:
@@ -113,18 +138,21 @@ class Network:
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         """A row of INPUTS numbers for each word."""
-        if not words:
-            return np.zeros((0, INPUTS), np.float32), ()
-        word, piece, firsts = hashes(words)
-        odds = self.odds.piece[piece % PIECE_BINS]
-        count = np.diff(np.append(firsts, len(piece))).astype(np.float32)
-        x = np.empty((len(words), INPUTS), np.float32)
-        x[:, 0] = self.odds.word[word % WORD_BINS]
-        x[:, 1] = np.maximum.reduceat(odds, firsts)
-        x[:, 2] = np.add.reduceat(odds, firsts) / count
-        x[:, 3 : 3 + EMBED] = self.p["words"][word % EMBED_BINS]
-        x[:, 3 + EMBED :] = np.add.reduceat(self.p["pieces"][piece % EMBED_BINS], firsts) / count[:, None]
-        return x, (word % EMBED_BINS, piece % EMBED_BINS, firsts, count)
+        vocabulary, every = Vocabulary(words), np.arange(len(words))
+        return self.inputs_of(vocabulary, every, self.odds.of(vocabulary, every))
+
+    def inputs_of(self, vocabulary: Vocabulary, ids: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The same for some words of a vocabulary, whose odds are known."""
+        if not len(ids):
+            none = np.empty(0, np.int64)
+            return np.zeros((0, INPUTS), np.float32), (none, none, none, np.empty(0, np.float32))
+        word, (piece, firsts, count) = vocabulary.word[ids] % EMBED_BINS, vocabulary.pieces(ids)
+        piece, count = piece % EMBED_BINS, count.astype(np.float32)
+        x = np.empty((len(ids), INPUTS), np.float32)
+        x[:, :3] = odds
+        x[:, 3 : 3 + EMBED] = self.p["words"][word]
+        x[:, 3 + EMBED :] = np.add.reduceat(self.p["pieces"][piece], firsts) / count[:, None]
+        return x, (word, piece, firsts, count)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """What a word adds to the gates of both directions."""
@@ -236,15 +264,14 @@ def train(documents: list[str], toxic: list[int], rounds: int = 3, epochs: int =
     empty = shift + len(known[1])
     every, owner = _cut(ids, empty)
 
-    def inputs() -> tuple[np.ndarray, list]:
-        parts = []
-        for k in (0, 1):
-            net.odds = other[k]
-            parts.append(net.inputs(list(known[k])))
-        return np.concatenate([parts[0][0], parts[1][0], np.zeros((1, INPUTS), np.float32)]), [x[1] for x in parts]
+    vocabulary = Vocabulary([*known[0], *known[1]])
+    told = np.concatenate([other[0].of(vocabulary, np.arange(shift)), other[1].of(vocabulary, np.arange(shift, empty))])
+
+    def inputs() -> np.ndarray:
+        return np.concatenate([net.inputs_of(vocabulary, np.arange(empty), told)[0], np.zeros((1, INPUTS), np.float32)])
 
     adam = Adam(net.p, 0.01)
-    x, _ = inputs()
+    x = inputs()
     rank = (np.maximum(x[:, 0], 0) + np.maximum(x[:, 1], 0))[every].max(axis=1)
     for _ in range(rounds):
         order = np.lexsort((-rank, owner))
@@ -254,18 +281,13 @@ def train(documents: list[str], toxic: list[int], rounds: int = 3, epochs: int =
         pick = np.concatenate((best, second[y[owner[second]] == 0]))
         for _ in range(epochs):
             rng.shuffle(pick)
-            vocab = [list(v) for v in known]
             for at in range(0, len(pick), 256):
                 rows = pick[at : at + 256]
                 words, places = np.unique(every[rows], return_inverse=True)
                 places = places.reshape(len(rows), WINDOW)
                 x, mask = np.zeros((len(words), INPUTS), np.float32), (every[rows] != empty).astype(np.float32)
-                inner = []
-                for k, low, high in ((0, 0, shift), (1, shift, empty)):
-                    own = np.flatnonzero((words >= low) & (words < high))
-                    net.odds = other[k]
-                    x[own], parts = net.inputs([vocab[k][w - low] for w in words[own]])
-                    inner.append((own, parts))
+                own = words[words != empty]
+                x[: len(own)], (word, piece, _, count) = net.inputs_of(vocabulary, own, told[own])
                 logits, kept = net.forward(net.projected(x)[places], mask, keep=True)
                 dlogit = ((_sigmoid(logits) - y[owner[rows]]) / len(rows)).astype(np.float32)
                 grad, dgates = net.backward(dlogit, kept)
@@ -277,14 +299,10 @@ def train(documents: list[str], toxic: list[int], rounds: int = 3, epochs: int =
                     grad[f"W{d}"], grad[f"b{d}"] = x.T @ g, g.sum(axis=0)
                     dx += g @ net.p[f"W{d}"].T
                 grad["words"], grad["pieces"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["pieces"])
-                for own, parts in inner:
-                    if len(own):
-                        word, piece, _, count = parts
-                        np.add.at(grad["words"], word, dx[own, 3 : 3 + EMBED])
-                        np.add.at(grad["pieces"], piece, np.repeat(dx[own, 3 + EMBED :] / count[:, None], count.astype(int), axis=0))
+                np.add.at(grad["words"], word, dx[: len(own), 3 : 3 + EMBED])
+                np.add.at(grad["pieces"], piece, np.repeat(dx[: len(own), 3 + EMBED :] / count[:, None], count.astype(int), axis=0))
                 adam.move(grad)
-        x, _ = inputs()
-        gates = net.projected(x)
+        gates = net.projected(inputs())
         rank = np.concatenate([net.forward(gates[every[k : k + BATCH]], (every[k : k + BATCH] != empty).astype(np.float32)) for k in range(0, len(every), BATCH)])
     net.odds = Odds(texts, y)
     del every, owner, ids, rank, x, gates, adam
