@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import held_out, slices, small_batches
+from quern.llm.common import held_out, settle, slices, small_batches
 
 PROFILE = 300
 PER_LANGUAGE = 1500
+#: Values of lang whose counts may be broadcast.
+BROADCAST_LANGS = 10_000
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 OUT_DDL = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -122,12 +124,11 @@ def _count_grams(source):
 def learn(docs: DataFrame, most: int = PROFILE, per_language: int = PER_LANGUAGE) -> Profiles:
     """Profiles of the languages in the learning folds; what comes back is most rows a language."""
     rows = small_batches(docs).select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Profiles({})
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))])
+    sizes = settle(rows.groupBy("lang").agg(F.count("*").alias("size")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    counted = rows.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
+    drawn = rows.join(sizes, "lang").where(draw * F.col("size") < per_language)
+    counted = drawn.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.expr("gram < 0"), "gram")
     ranked = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     lists: dict[str, list] = {}

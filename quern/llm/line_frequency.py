@@ -28,6 +28,8 @@ MAX_PERCENT = 5
 MIN_PAGES = 3
 #: Boilerplate lines of all hosts that may be broadcast: about 60 bytes each.
 BROADCAST_LINES = 50_000
+#: Lines of one host that may be broadcast: each of its pages looks its own lines up among them.
+HOST_LINES = 500
 
 _FULL = r"[^\x20\x09-\x0D]"
 
@@ -57,7 +59,8 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", max_pe
     found = settle(boilerplate(docs, host, text, max_percent, min_pages).select("host", "line"))
     columns = docs.columns
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
-    if found.count() <= broadcast_lines:
+    total, longest = found.groupBy("host").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if total <= broadcast_lines and longest <= HOST_LINES:
         by_host = found.groupBy("host").agg(F.collect_list("line").alias("drop"))
         joined = named.join(F.broadcast(by_host), "host", "left").withColumn("drop", F.array_intersect(_full_lines(F.col("text")), F.col("drop")))
     else:

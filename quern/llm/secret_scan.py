@@ -236,10 +236,12 @@ def candidates(text: Column, path: Column, forest: list, pieces: Column | None =
     return F.transform(F.transform(runs, seen), voted)
 
 
-def scan(docs: DataFrame, forest: list | None = None, text: str = "text", path: str = "source") -> DataFrame:
-    """docs and `_found`: runs of each text with their votes."""
+def scan(docs: DataFrame, forest: list | None = None, text: str = "text", path: str = "source", found: str = "_found") -> DataFrame:
+    """docs and a column `found`: runs of each text with their votes. The name must be free."""
+    if found.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs have a column {found}")
     forest = default_forest() if forest is None else forest
-    return docs.withColumn("_found", candidates(F.col(text), F.coalesce(F.col(path), F.lit("")), forest))
+    return docs.withColumn(found, candidates(F.col(text), F.coalesce(F.col(path), F.lit("")), forest))
 
 
 def _is_secret(x: Column, trees: int) -> Column:
