@@ -85,6 +85,21 @@ def test_join_odd_rows(odd, make):
     assert jaccard_join.join(make([])).count() == 0
 
 
+def test_join_of_hot_tokens(spark, monkeypatch):
+    """Tokens whose posters are put together nowhere lose no link."""
+    monkeypatch.setattr(jaccard_join, "HOT_POSTERS", 1)
+    rows = _family(7, 60, 6)
+    _, hot = jaccard_join.frequent_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(hot) > 20
+    _check_join(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_keep_one_with_names_of_its_own(make):
+    docs = make([(k, f"one two three four five six {k // 2}", "en", "a") for k in range(6)]).withColumnsRenamed({"key": "_gone", "bits": "_twice", "n": "row", "bucket": "id", "label": "a.b"})
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+
+
 def test_keep_one(odd):
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns
@@ -155,6 +170,50 @@ def test_removal_of_passages(spark, monkeypatch):
     _check_removal(spark.createDataFrame(rows, "doc_id long, text string"), rows, 40, 16)
 
 
+def _site(n, own, seed=9):
+    """Pages of a site: 3 in 10 end in one footer, after words of their own; some share more."""
+    rng = random.Random(seed)
+    some = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    footer = some(own)
+    return [(k, some(rng.randint(0, own)) + (footer + some(rng.randint(0, 9)) if k % 10 < 3 else some(own))) for k in range(n)] + [(n + k, some(7) + footer[: own // 2 + 3 * k] + some(30)) for k in range(9)]
+
+
+def test_removal_of_hot_cores(spark, monkeypatch):
+    """One core in a third of the texts, whose neighbourhoods are too many for a range."""
+    rows = _site(200, 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "HOT_EDGES", 4)
+    monkeypatch.setattr(suffix_dedup, "PACKED", 2000)
+    _check_removal(docs, rows, 40, 16)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_KEYS", 0)
+    _check_removal(docs, rows, 40, 16)
+
+
+def test_removal_of_cores_hot_in_the_sample(spark, monkeypatch):
+    rows = _site(120, 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "HOT_ANCHORS", 5)
+    monkeypatch.setattr(suffix_dedup, "PACKED", 2000)
+    texts = docs.selectExpr("cast(cast(doc_id AS string) AS binary) AS key", "text")
+    assert len(suffix_dedup.sampled(texts, len(rows), 4, 40, 16)[1]) > 1
+    _check_removal(docs, rows, 40, 16)
+
+
+def test_passages_on_both_sides_of_the_width(spark):
+    """Passages of 399 bytes stay, however many words they have; of 400 and more they go."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for n in (390, 398, 399, 400, 401, 450):
+        passage = " ".join(word() for _ in range(90))[:n]
+        rows += [(len(rows) + k, f"{'xyz'[k]} {word()} " * 8 + f"{k}{passage}{k}" + f" {word()} {'uvw'[k]}" * 8) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _check_removal(docs, rows)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove(docs).collect()}
+    assert [got[3 * k] for k in range(6)] == [0, 0, 0, 400, 401, 450]
+
+
+@settings(deadline=None)
 @given(st.lists(st.lists(st.text("ab", max_size=8).map(str.encode), max_size=8), max_size=6))
 def test_loser_tree_merges(runs):
     runs = [sorted(r) for r in runs]
@@ -165,6 +224,7 @@ def test_loser_tree_merges(runs):
         assert n == suffix_dedup.shared(a, b)
 
 
+@settings(deadline=None)
 @given(st.binary(max_size=30), st.binary(max_size=30))
 def test_shared(a, b):
     n = suffix_dedup.shared(a, b)

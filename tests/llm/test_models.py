@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,7 +25,7 @@ def _counts(text):
     return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dup, "n_repeat_words": len(hit)}
 
 
-@settings(max_examples=300)
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab \n\t#%\x1c\xa0é"))
 def test_base_counts(text):
     assert quality_crf.base_counts(text)[0] == _counts(text)
@@ -68,7 +69,7 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.kept == bool(r.quality) for r in rows) >= 0.95 * len(rows)
 
 
-@settings(max_examples=200)
+@settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abZ .éß中а "))
 def test_grams(text):
     codes, counts = langid.grams(text)
@@ -173,11 +174,127 @@ def test_toxicity_learns():
 def test_field_learns_all_lines(spark, monkeypatch):
     """Boilerplate at the end of a long training document, and its last line, are learnt too."""
     seen = []
-    monkeypatch.setattr(quality_crf.Field, "trained", classmethod(lambda cls, sequences: seen.extend(sequences)))
+    monkeypatch.setattr(quality_crf, "fitted", seen.extend)
     text = "".join(f"line {k}\n" for k in range(300)) + "| menu | end |"
     docs = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
     quality_crf.learn(docs, spark.createDataFrame([(k, 0) for k in range(20)], "doc_id long, quality int"))
-    assert seen and all(len(x) == len(y) == 301 and x[-1][quality_crf.FEATURES.index("last")] for x, y in seen)
+    assert seen and all(len(x) == len(sizes) == 301 and q == 0 and x[-1][quality_crf.FEATURES.index("last")] for x, sizes, q in seen)
+
+
+def _pages(docs):
+    for r in docs:
+        counts, _, hit = quality_crf.base_counts(r.text or "")
+        x, sizes = quality_crf.line_features(r.text or "", hit)
+        if len(x) and not quality_crf.base_failed(counts):
+            yield x, sizes, r.quality
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    docs, labels = (spark.read.parquet(f"{SF_LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    return quality_crf.learn(docs, labels)
+
+
+def test_lines_of_a_text_differ(spark, field):
+    """Bad documents hold clean lines, too: a good part of them gets both labels, and the share decides."""
+    docs, labels = (spark.read.parquet(f"{SF_LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    labelled = [(x, np.array(field.viterbi(x)), sizes, q) for x, sizes, q in _pages(docs.join(labels, "doc_id").collect())]
+    bad = [y for _, y, _, q in labelled if q == 0 and len(y) > 1]
+    assert sum(0 < y.sum() < len(y) for y in bad) >= 0.3 * len(bad)
+    assert sum(((y * sizes).sum() >= quality_crf.KEEP_SHARE * sizes.sum()) == bool(q) for _, y, sizes, q in labelled) >= 0.95 * len(labelled)
+
+
+BODY = [
+    "The committee met on Tuesday to discuss the new library, which will open in the spring of next year.",
+    "Several members asked about the cost of the building, and the mayor said that it would be paid for by the region.",
+    "Work on the site will begin as soon as the permits have been given, and it should take about ten months in all.",
+]
+
+
+def _labels(field, page):
+    _, _, hit = quality_crf.base_counts(page)
+    return field.viterbi(quality_crf.line_features(page, hit)[0])
+
+
+def test_pages_made_by_hand(field):
+    menu, bottom = "Home | About | Contact | Login | Help", "Copyright ### all rights ### reserved ### here ###"
+    assert _labels(field, "\n".join([menu, *BODY, bottom, menu])) == [0, 1, 1, 1, 0, 0]
+    assert _labels(field, "\n".join(BODY)) == [1, 1, 1]
+    assert _labels(field, "\n".join([menu, bottom, menu, bottom])) == [0, 0, 0, 0]
+
+
+def test_constraint_turns_the_least_certain_lines():
+    sizes, odds = np.array([10, 10, 10]), np.array([3.0, -1.0, 0.5])
+    assert quality_crf.constrained(np.array([1, 0, 1]), odds, sizes, 0).tolist() == [1, 0, 0]
+    assert quality_crf.constrained(np.array([0, 0, 0]), odds, sizes, 1).tolist() == [1, 0, 1]
+    assert quality_crf.constrained(np.array([1, 0, 1]), odds, sizes, 1).tolist() == [1, 0, 1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeéß ", min_size=1, max_size=60), min_size=1, max_size=4), st.text(alphabet="abcdeéß ", max_size=80))
+def test_nearest_profile(samples, text):
+    """Ranks, the out-of-place distance and the winner, worked out with plain lists."""
+
+    def ranked(t):
+        codes, counts = langid.grams(t)
+        return [c for _, c in sorted(zip((-counts).tolist(), codes.tolist(), strict=True))][:12]
+
+    lists = {f"l{k}": ranked(t) for k, t in enumerate(samples) if ranked(t)}
+    own = ranked(text)
+    far = {lang: sum(abs(p.index(g) - k) if g in p else 12 for k, g in enumerate(own)) for lang, p in lists.items()}
+    got = langid.Profiles({k: np.array(v, np.uint64) for k, v in lists.items()}, 12).judge(text)
+    if not own or not lists:
+        assert got == ("und", 0.0)
+    else:
+        best = min(far, key=lambda k: (far[k], k))
+        assert got[0] == best and abs(got[1] - (1 - far[best] / (12 * len(own)))) < 1e-12
+
+
+def _one_window(net, words):
+    """The logit of a window, step by step."""
+    p, h = net.p, toxicity.HIDDEN
+    x = net.inputs(words)[0].astype(float) if words else np.zeros((0, toxicity.INPUTS))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = {}
+    for d in "fb":
+        state, seen = np.zeros(h), {}
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            g, u = x[t] @ p[f"W{d}"] + p[f"b{d}"], state @ p[f"U{d}"]
+            z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :])
+            seen[t] = state
+        states[d] = seen
+    rows = np.array([np.concatenate((states["f"][t], states["b"][t])) for t in range(len(x))]).reshape(len(x), 2 * h)
+    if not len(rows):
+        return None
+    a = np.exp(rows @ p["attend"] - (rows @ p["attend"]).max())
+    return float((a / a.sum()) @ rows @ p["out"] + p["bias"][0])
+
+
+def test_every_window_counts():
+    """The score of a text is that of its highest window, worked out here one by one."""
+    texts = ["you are an idiot here", "quite a fine day", "idiot fool", "a fine fine thing"] * 3
+    net = toxicity.train(texts, [1, 0, 1, 0] * 3, rounds=1, epochs=2)
+    rng = np.random.default_rng(3)
+    for n in (1, 15, 16, 17, 33, 64, 100):
+        words = [str(w) for w in rng.choice(["quite", "fine", "idiot", "day", "thing", "fool"], n)]
+        each = [_one_window(net, words[a : a + toxicity.WINDOW]) for a in range(0, n, toxicity.STRIDE)]
+        best = max(e for e in each[: max(1, -(-(n - toxicity.STRIDE) // toxicity.STRIDE))] if e is not None)
+        assert abs(toxicity.Scorer(net)([" ".join(words)])[0] - 1 / (1 + np.exp(-best))) < 1e-4
+
+
+def test_the_learnt_part_carries_weight(spark):
+    """Without the odds of words and pieces, what the network learnt still tells toxic documents from clean ones."""
+    docs, labels = (spark.read.parquet(f"{SF_LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    net = toxicity.learn(docs, labels)
+    rows = docs.join(labels, "doc_id").where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0 AND toxic IS NOT NULL").collect()
+    toxic = np.array([r.toxic for r in rows], bool)
+    whole = toxicity.Scorer(net)([r.text for r in rows])
+    assert ((whole >= 0.5) == toxic).mean() >= 0.9
+    net.odds.word[:], net.odds.piece[:] = 0, 0
+    alone = toxicity.Scorer(net)([r.text for r in rows])
+    higher = (alone[toxic][:, None] > alone[~toxic][None]).mean() + 0.5 * (alone[toxic][:, None] == alone[~toxic][None]).mean()
+    assert higher > 0.6
 
 
 def test_field_of_uneven_sequences():

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import duckdb
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -37,6 +38,12 @@ def test_lines_dropped_by_both_ways(make):
         assert got[20] == "footer\nbody" and got[30] == "" and got[31] is None and got[32] == "footer"
 
 
+def test_lines_of_a_host_with_many(make, monkeypatch):
+    monkeypatch.setattr(line_frequency, "HOST_LINES", 1)
+    got = {r.doc_id: r.text for r in line_frequency.drop_lines(make(PAGES), max_percent=45, min_pages=3).collect()}
+    assert got[0] == "own line 0\n\nmenu 0" and got[20] == "footer\nbody" and got[30] == "" and got[31] is None
+
+
 def test_lines_odd_rows(odd, make):
     for most in (100, 0):
         assert line_frequency.drop_lines(odd, broadcast_lines=most).count() == len(ODD)
@@ -81,6 +88,26 @@ def test_masks_after_long_names(make):
     assert [got[k] for k in range(4)] == [texts[2] if k == 2 else t.replace(value, "[SECRET]") for k, t in enumerate(texts)]
 
 
+def test_recall_of_planted_secrets(spark, make):
+    """Of secrets in their usual places nearly all are found, of what looks like them hardly any."""
+    import random
+
+    rng = random.Random(41)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = [f"The {rng.choice(['api', 'client'])} wants token = \"{some(hexa, 40)}\" now" for _ in range(100)] + [f"key AKIA{some(mixed.upper(), 16)} leaked" for _ in range(100)] + [f"password={some(hexa, 18)} in use" for _ in range(100)]
+    clean = [f"commit {some(hexa, 40)} fixes it" for _ in range(100)] + [f"card {some('0123456789', 16)} was charged" for _ in range(100)]
+    got = {r.doc_id: r.n_secrets for r in secret_scan.digest(make([(k, t, "en", f"src{k % 20}") for k, t in enumerate(planted + clean)])).collect()}
+    assert sum(got[k] > 0 for k in range(300)) >= 0.97 * 300 and sum(got[300 + k] > 0 for k in range(200)) <= 0.03 * 200
+
+
+def test_scan_keeps_columns(make):
+    docs = make([(1, "words", "en", "a")]).withColumnRenamed("key", "_Found")
+    with pytest.raises(ValueError):
+        secret_scan.scan(docs)
+    assert secret_scan.scan(docs, found="runs").columns == [*docs.columns, "runs"]
+
+
 def test_secrets_odd_rows(odd, make):
     got = secret_scan.redact(odd).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for d, t, *_ in ODD)

@@ -29,3 +29,21 @@ def test_odd_rows_go_through(spark, odd, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() > 0, name
         docs = docs if name == "packing" else out
+
+
+def test_empty_tables_go_through(spark, make, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = make([]).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_names_of_the_operators_go_through(spark, odd, tmp_path):
+    """Columns that are called as the operators call theirs stay what they are."""
+    docs = odd.withColumnsRenamed({"key": "_gone", "n": "_found", "bits": "row", "bucket": "_twice", "label": "host", "block": "drop"})
+    spark.createDataFrame([(4, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {(r._gone, r._found, r._twice, r.host, r.drop) for r in out.collect()} == {("k", 1, 3, "x", 9)}, name
+        docs = out
