@@ -10,6 +10,7 @@ from quern.functions.text import contains_any, starts_any, trim_u
 
 #: A whole word fail or failed without a bare 0 on either side. \s and word characters are Unicode ones.
 VERDICT = r"(?U)(?<![\p{L}\p{N}_])(?<!(?<![0-9])0\s{0,40})fail(?:ed)?(?![\p{L}\p{N}_])(?!\s*0(?![0-9]))"
+#: A tally of tests, and a path with a line number.
 TALLY = r"(?U)^\s*\d+\s+(pass|passed|fail|failed|skip|skipped|todo)\b"
 PATH_WITH_LINE = r"(?U)[\w./\-]+\.\w+:\d+(:\d+)?"
 
@@ -30,7 +31,7 @@ def carries_failure(line: Column, tool: str | None = None) -> Column:
     low = F.lower(line)
     head = F.regexp_replace(low, r"(?U)^\s+", "")
     own = contains_any(low, K.TOOL_CRITICAL[tool]) if tool in K.TOOL_CRITICAL else F.lit(False)
-    return own | head.rlike(f"^[{K.FAIL_GLYPHS}]") | contains_any(low, K.FAILURE_MARKS) | low.startswith("error ") | (~head.rlike(f"^[{K.PASS_GLYPHS}]") & low.rlike(VERDICT))
+    return own | head.rlike(f"^[{K.FAIL_GLYPHS}]") | contains_any(low, K.FAILURE_MARKS) | low.startswith("error ") | (low.contains("fail") & ~head.rlike(f"^[{K.PASS_GLYPHS}]") & low.rlike(VERDICT))
 
 
 def is_progress(line: Column) -> Column:

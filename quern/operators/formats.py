@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern import constants as K
 from quern.functions.text import lines, trim_u
 
+#: Shapes of a YAML line and of a key that opens a block scalar.
 YAML_LINE = r"""^\s*(?:"[^"]*"|'[^']*'|[A-Za-z_][A-Za-z0-9_.\-/]*)\s*:(?:\s.*|)$"""
 BLOCK_SCALAR = r"^\s*\S+\s*:\s*[|>][0-9]*[-+]?\s*$"
 
@@ -17,7 +18,9 @@ def _bracketed(c: Column) -> Column:
 
 
 def _parses(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
+    """Whether a text is one JSON value and nothing more: the parser alone would take a value with anything after it."""
+    alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
 
 
 def _let(value: Column, body) -> Column:
@@ -45,7 +48,8 @@ def _yaml(own: Column) -> Column:
     walked = F.aggregate(own, start, lambda s, x: F.when(s["inside"].isNotNull() & (indent(x) > s["inside"]), s).otherwise(
         F.struct((s["ok"] & shaped(x)).alias("ok"), F.when(x.rlike(BLOCK_SCALAR), indent(x)).alias("inside"))))
     structured = F.exists(own, lambda x: x.startswith(" ") | F.regexp_replace(x, r"^\s+", "").startswith("- "))
-    return (first == "---") | first.startswith("--- ") | ((F.size(own) >= 2) & walked["ok"] & structured)
+    # The first line can't be inside a scalar; that and the indents, which are cheap, are asked before all lines are walked.
+    return (first == "---") | first.startswith("--- ") | ((F.size(own) >= 2) & shaped(F.element_at(own, 1)) & structured & walked["ok"])
 
 
 def sniff(text: Column) -> Column:

@@ -60,6 +60,7 @@ def test_tool_markers(say):
 
 FORMATS = {
     '{"a": 1}': "json", "[1, 2]": "json", '{"a":1}\n{"b":2}': "ndjson", '{"a": 1, // no\n"b": }': "json", "{not json}": None, "---\nx: 1": "yaml", "a: 1\nb:\n  - 2": "yaml", "a: 1\nb: 2": None,
+    "[1] foo [2]": None, "[3] done in 4 s [ok]": None, '{"a": 1} {"b": 2}': "json", "[1]\n[2] x": None, '[1], [2]': None,
     "k: |\n  any thing\n  at all\nl:\n  m: 1": "yaml", "a,b\n1,2\n3,4": "csv", "a\tb\n1\t2\n3\t4": "tsv", "a,b\n1,2": None, "plain words": None, "": None, "  ": None, "a,b\n1,2,3\n4,5": None,
 }
 
@@ -113,16 +114,40 @@ def test_language():
     assert parse("errors in last x") is None and parse("anything else") is None
 
 
+#: What each host sends, and (agent, tool, command, content, failed) that come of it.
+ENVELOPES = [
+    ({"hook_event_name": "PostToolUse", "session_id": " s1 ", "tool_name": "bash", "tool_input": {"command": "ls"}, "tool_response": {"stdout": "out", "stderr": "bad"}}, ("claude", "Bash", "ls", "out\n[stderr]\nbad", False)),
+    ({"tool_name": "Read", "tool_input": {"file_path": "a.py"}, "tool_response": {"file": {"content": "body\n", "startLine": 3}}}, ("claude", "Read", "a.py", "body\n", False)),
+    ({"tool_name": "Read", "tool_input": {"path": "a.py"}, "tool_response": {"content": "[not a list]"}}, ("claude", "Read", "a.py", "[not a list]", False)),
+    ({"tool_name": "Bash", "tool_response": "Error: Exit code 1"}, ("claude", None, None, None, None)),
+    ({"tool_name": "Read", "tool_response": {"content": [{"type": "text", "text": "l1"}, {"type": "image", "text": "no"}, {"type": "text", "text": "l2 \n"}]}}, ("cursor", "Read", "", "l1\nl2", False)),
+    ({"toolName": "Bash", "toolInput": {"cmd": "ls -l"}, "toolResponse": {"result": "r", "isError": True}}, ("pi", "Bash", "ls -l", "r", True)),
+    ({"toolName": "webfetch", "toolInput": {"path": "p"}, "toolResponse": {"result": "r"}}, ("pi", "webfetch", "p", "r", False)),
+    ({"toolName": "Bash", "isError": False, "content": "c"}, ("unknown", None, None, None, None)),
+    ({"agent": "hermes", "tool_name": "terminal", "tool_response": {}, "command": "cargo test", "output": "o", "exit_code": 1}, ("hermes", "Bash", "cargo test", "o", True)),
+    ({"type": "tool_result", "tool": "shell", "output": "o", "command": "make"}, ("opencode", "Bash", "make", "o", False)),
+    ({"type": "tool_result", "tool": "other", "result": "r"}, ("opencode", "other", "", "r", False)),
+    ({"tool": "shell", "output": "o"}, ("unknown", None, None, None, None)),
+    ({"action": "run", "command": "make", "stdout": "a", "stderr": "b", "exit_code": 2}, ("codex", "Bash", "make", "a\n[stderr]\nb", True)),
+    ({"call_id": "1", "command": "make", "output": "no", "exit_code": 2}, ("unknown", None, None, None, None)),
+    ({"role": "tool", "content": "c", "tool_call": {"function": {"name": "read_file", "arguments": '{"command": "cat x"}'}}}, ("continue", "Read", "cat x", "c", False)),
+    ({"role": "tool", "content": [{"type": "text", "text": "t"}], "tool_call": {"function": {"arguments": "no json"}}}, ("continue", "Bash", "", "t", False)),
+    ({"jsonrpc": "2.0", "result": {"content": [{"type": "text", "text": "r  "}], "isError": True}}, ("jsonrpc", "Bash", "env", "r", True)),
+    ({"jsonrpc": "2.0", "id": 1}, ("unknown", None, None, None, None)),
+    ("plain text", ("aider", "Bash", "env", "plain text", False)),
+    (" ", ("aider", None, None, None, None)),
+    ("[1, 2]", ("unknown", None, None, None, None)),
+    ('{"a": 1} and more', ("aider", "Bash", "env", '{"a": 1} and more', False)),
+    ("{}", ("unknown", None, None, None, None)),
+]
+
+
 def test_envelopes(spark):
-    claude = {"hook_event_name": "PostToolUse", "session_id": " s1 ", "tool_name": "bash", "tool_input": {"command": "ls"}, "tool_response": {"stdout": "out", "stderr": "bad"}}
-    cursor = {"tool_name": "Read", "tool_input": {"file_path": "a.py"}, "tool_response": {"content": [{"type": "text", "text": "l1"}, {"type": "text", "text": "l2"}]}}
-    codex = {"call_id": "1", "command": "make", "output": "no", "exit_code": 2}
-    rpc = {"jsonrpc": "2.0", "result": {"content": [{"type": "text", "text": "r"}]}}
-    raws = [json.dumps(x) for x in (claude, cursor, codex, rpc)] + ["plain text", "{}"]
-    rows = envelopes.normalized(spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string")).orderBy("k").collect()
-    assert [r.agent for r in rows] == ["claude", "cursor", "codex", "jsonrpc", "aider", "unknown"]
-    assert (rows[0].tool, rows[0].command, rows[0].content, rows[0].session_id) == ("Bash", "ls", "out\n[stderr]\nbad", "s1")
-    assert (rows[1].command, rows[1].content) == ("a.py", "l1\nl2") and rows[2].failed and rows[3].content == "r" and rows[4].content == "plain text"
+    raws = [x if isinstance(x, str) else json.dumps(x) for x, _ in ENVELOPES]
+    rows = envelopes.normalized(spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string"), env_command="env").orderBy("k").collect()
+    for (said, want), r in zip(ENVELOPES, rows, strict=True):
+        assert (r.agent, r.tool, r.command, r.content, r.failed) == want, said
+    assert rows[0].session_id == "s1" and rows[0].agent_id == "claude_code" and rows[8].agent_id == "hermes"
 
 
 def test_splits(say):
