@@ -13,7 +13,7 @@ from quern.plans.catalog import query
 from quern.plans.line_queries import _FAILS
 from quern.sources.views import LOG_SQL, log_lines, payloads, shelf, table
 
-_LINES = r"""lines AS (SELECT scope, seq, payload_bytes, unnest(ls) AS line, generate_subscripts(ls, 1)::BIGINT AS i FROM (
+_LINES = r"""lines AS (SELECT scope, seq, reader, payload_bytes, unnest(ls) AS line, generate_subscripts(ls, 1)::BIGINT AS i FROM (
   SELECT *, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT *, strlen(text) AS payload_bytes, string_split(text, chr(10)) AS ls FROM payloads))),
 hashed AS (SELECT *, strlen(line) + 1 AS bytes, substr(sha256(regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '')), 1, 16) AS line_hash, lower(line) AS low FROM lines)"""
 _FULL = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
@@ -22,14 +22,14 @@ _COMMAS = f"list_distinct(list_transform({_FULL}, lambda x: length(x) - length(r
 _PLAIN = f"NOT (len({_FULL}) >= {K.MIN_DELIMITED} AND len({_COMMAS}) = 1 AND {_COMMAS}[1] > 0)"
 _DOCS = f"payloads AS (SELECT source AS scope, doc_id AS seq, lang AS reader, text FROM documents WHERE strlen(text) >= {K.MIN_LEDGER_INPUT} AND {_PLAIN})"
 _TURNS = f"payloads AS (SELECT conv_id::VARCHAR AS scope, turn AS seq, role AS reader, text FROM conversations WHERE strlen(text) >= {K.MIN_LEDGER_INPUT} AND {_PLAIN})"
-_SEEN = f"""{_LINES}, firsts AS (SELECT scope, line_hash, min(seq) AS first_seq FROM hashed GROUP BY 1, 2),
-seen AS (SELECT h.*, first_seq, first_seq < seq AND NOT {_FAILS} AS seen FROM hashed h JOIN firsts f USING (scope, line_hash))"""
-_RUNS = f"""{_SEEN}, src AS (SELECT *, CASE WHEN seen THEN first_seq ELSE -1 END AS source, sum(CASE WHEN seen THEN bytes ELSE 0 END) OVER (PARTITION BY scope, seq) AS seen_bytes FROM seen),
-chg AS (SELECT *, coalesce(source <> lag(source) OVER (PARTITION BY scope, seq ORDER BY i), false)::INT AS change FROM src),
+_SEEN = f"""{_LINES}, firsts AS (SELECT scope, line_hash, min(seq) AS first_seq, arg_min(reader, row(seq, i)) AS first_reader FROM hashed GROUP BY 1, 2),
+seen AS (SELECT *, CASE WHEN seen AND first_reader <> '' AND first_reader <> reader THEN first_reader END AS source FROM (SELECT h.*, first_seq, first_reader, first_seq < seq AND NOT {_FAILS} AS seen FROM hashed h JOIN firsts f USING (scope, line_hash)))"""
+_RUNS = f"""{_SEEN}, src AS (SELECT *, sum(CASE WHEN seen THEN bytes ELSE 0 END) OVER (PARTITION BY scope, seq) AS seen_bytes FROM seen),
+chg AS (SELECT *, (i > 1 AND (seen <> lag(seen) OVER w OR source IS DISTINCT FROM lag(source) OVER w))::INT AS change FROM src WINDOW w AS (PARTITION BY scope, seq ORDER BY i)),
 num AS (SELECT *, sum(change) OVER (PARTITION BY scope, seq ORDER BY i)::BIGINT AS run FROM chg),
 runs AS (SELECT scope, seq, run, any_value(source) AS source, min(i) AS first_line, max(i) AS last_line, count(*) AS n_lines, sum(bytes)::BIGINT AS run_bytes, any_value(payload_bytes) AS payload_bytes,
   any_value(seen_bytes) AS seen_bytes, string_agg(line, chr(10) ORDER BY i) AS body FROM num WHERE seen GROUP BY scope, seq, run),
-marked AS (SELECT *, substr(sha256(body), 1, 16) AS handle, '{K.MARKER}' || n_lines || ' lines, ' || run_bytes || ' bytes, see ' || substr(sha256(body), 1, 16) || ']' AS marker FROM runs),
+marked AS (SELECT *, substr(sha256(body), 1, 16) AS handle, '{K.MARKER}' || n_lines || ' lines, ' || run_bytes || ' bytes' || CASE WHEN source IS NULL THEN '' ELSE ' first in ' || source END || ', see ' || substr(sha256(body), 1, 16) || ']' AS marker FROM runs),
 folds AS (SELECT * FROM marked WHERE NOT (payload_bytes < {K.WHOLE_OUTPUT} AND seen_bytes * 5 >= payload_bytes * 4) AND run_bytes >= strlen(marker) + 1 + {K.RUN_GAIN})"""
 
 
@@ -68,7 +68,7 @@ def ledger_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOCS}, {_LINES} SELECT scope, line_hash, min(seq) AS first_seq FROM hashed GROUP BY 1, 2")
 def seen_first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.first_writer(G.hashed_lines(G.eligible(shelf(spark, sf_dir))))
+    return G.first_writer(G.hashed_lines(G.eligible(shelf(spark, sf_dir)))).drop("first_reader")
 
 
 @query(f"""WITH {_DOCS.replace(f" WHERE strlen(text) >= {K.MIN_LEDGER_INPUT} AND {_PLAIN}", "")}, {_LINES}, l AS (SELECT *, row_number() OVER (PARTITION BY scope, line_hash ORDER BY seq, i) AS k FROM hashed WHERE bytes - 1 >= 12)
@@ -90,7 +90,15 @@ def archive_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ledger_two_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions are sources, projects languages: sequential by project, so tested against a loop."""
-    return G.two_scopes(shelf(spark, sf_dir), F.col("scope")).groupBy("scope").agg(F.sum("n_lines").alias("n_lines"), F.sum("session_seen").alias("session_seen"), F.sum("project_seen").alias("project_seen"))
+    own = G.two_scopes(shelf(spark, sf_dir), F.col("reader"))
+    return own.groupBy("project", "scope").agg(F.sum("n_lines").alias("n_lines"), F.sum("session_seen").alias("session_seen"), F.sum("project_seen").alias("project_seen"), F.sum(F.size("folds")).alias("folds"), F.sum(F.col("payload_bytes") - F.col("view_bytes")).alias("saved_bytes"))
+
+
+@query()
+def ledger_fold_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the folds of both scopes drew on; sequential as well."""
+    own = G.fold_facts(G.two_scopes(shelf(spark, sf_dir), F.col("reader")))
+    return own.groupBy("project", "origin", "source_agent").agg(F.count("*").alias("payloads"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), F.count_if("whole_output").alias("whole_outputs"))
 
 
 @query("SELECT lang, source, substr(sha256(source), 1, 16) AS project_hash, count(*) AS n FROM documents GROUP BY 1, 2, 3")

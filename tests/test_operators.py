@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -81,11 +82,107 @@ def test_folds(payloads):
         assert r.last_line - r.first_line + 1 == r.n_lines == r.body.count("\n") + 1
 
 
-def test_two_scopes(spark):
-    body = "\n".join(f"line {k} that is long enough to count for something" for k in range(8))
-    df = spark.createDataFrame([("a", 1, "r", body), ("b", 2, "r", body), ("a", 3, "r", body), ("b", 4, "r", body)], "scope string, seq long, reader string, text string")
-    got = {r.seq: (r.session_seen, r.project_seen) for r in ledger.two_scopes(df, F.lit("p")).collect()}
-    assert got == {1: (0, 0), 2: (0, 8), 3: (8, 0), 4: (0, 8)}  # folded as the project's, so never the session's
+def _line_key(line):
+    return hashlib.sha256(line.strip().encode()).hexdigest()[:16]
+
+
+def _two_scopes_slowly(events):
+    """The rules once more, payload by payload, over lists of (scope, hash, command) in the order of writing."""
+    written, owed, out = [], [], []
+
+    def first(scope, h):
+        return next((c for s, x, c in written if (s, x) == (scope, h)), None)
+
+    for scope, kind, command, body in events:
+        if kind == "compact":
+            written[:] = [w for w in written if w[0] != scope]
+            continue
+        if kind == "pull":
+            owed.append(body)
+            continue
+        own = body.split("\n")
+        size = [len(x.encode()) + 1 for x in own]
+        failing = {_line_key(x) for x in own if "error:" in x}
+        origin = []
+        for x in own:
+            h = _line_key(x)
+            a, b = first(scope, h), first("PROJECT", h)
+            source = a if a is not None else b
+            origin.append(None if h in failing or source is None else ("session" if a is not None else "project", None if source in ("", command) else source))
+        seen = sum(n for n, o in zip(size, origin, strict=True) if o)
+        folds, start = [], 0
+        while start < len(own):
+            end = start
+            while end < len(own) and origin[end] == origin[start]:
+                end += 1
+            if origin[start] and not (sum(size) < 1024 and seen * 5 >= sum(size) * 4):
+                bar = 150 if origin[start][0] == "session" else 450
+                marker = ledger.rendered(origin[start][0], end - start, sum(size[start:end]), origin[start][1], (start, end) == (0, len(own)))
+                if sum(size[start:end]) >= len(marker.encode()) + bar:
+                    handle = hashlib.sha256("\n".join(own[start:end]).encode()).hexdigest()[:16]
+                    if handle in owed:
+                        owed.remove(handle)
+                    else:
+                        folds.append((start + 1, end, origin[start][0]))
+            start = end
+        gone = {k for a, b, _ in folds for k in range(a - 1, b)}
+        for s in (scope, "PROJECT"):
+            for k, x in enumerate(own):
+                if k not in gone and first(s, _line_key(x)) is None:
+                    written.append((s, _line_key(x), command))
+        out.append((sum(o is not None and o[0] == "session" for o in origin), sum(o is not None and o[0] == "project" for o in origin), folds))
+    return out
+
+
+def test_two_scopes_on_random_payloads(spark):
+    rng = random.Random(12)
+    pool = [f"shared line {k} " + "word " * rng.randint(2, 30) for k in range(40)] + ["error: shared failure " + "y" * 40]
+    events = []
+    for _ in range(160):
+        at = rng.randrange(30)
+        own = pool[at : at + rng.randint(0, 12)] + [f"own {len(events)} " + "x" * rng.randint(5, 90) for _ in range(rng.randint(1, 5))] + pool[rng.randrange(40) :][: rng.randint(0, 6)]
+        events.append((f"s{rng.randrange(3)}", "payload", rng.choice(["make", "cat f", ""]), "\n".join(own) + "\n" + "z" * 264))
+        if rng.random() < 0.05:
+            events.append((events[-1][0], "compact", "", ""))
+    folded = _two_scopes_slowly(events)
+    pulled = []
+    for k, (*_, f) in enumerate(folded):  # some handles are asked for right after the fold
+        pulled += [(k, a, b) for a, b, _ in f if rng.random() < 0.3]
+    payloads = [k for k, e in enumerate(events) if e[1] == "payload"]
+    for k, a, b in reversed(pulled):
+        body = "\n".join(events[payloads[k]][3].split("\n")[a - 1 : b])
+        events.insert(payloads[k] + 1, ("", "pull", "", hashlib.sha256(body.encode()).hexdigest()[:16]))
+    want = _two_scopes_slowly(events)
+    rows = [("p", s, k, 1_000_000 + k, kind, "x", c, t) for k, (s, kind, c, t) in enumerate(events)]
+    df = spark.createDataFrame(rows, "project string, scope string, seq long, ts long, kind string, agent string, command string, text string")
+    got = [r for r in ledger.walked(df).orderBy("seq").collect() if r.n_lines]
+    assert [(r.session_seen, r.project_seen, [(f.first_line, f.last_line, f.origin) for f in r.folds]) for r in got] == want
+    kinds = {o for _, _, f in want for *_, o in f}
+    assert kinds == {"session", "project"} and want != folded
+    facts = ledger.fold_facts(ledger.walked(df)).collect()
+    assert sum(f.lines for f in facts) == sum(b - a + 1 for _, _, fs in want for a, b, _ in fs)
+
+
+def test_short_project_lines_are_delivered(spark):
+    """A line that is seen by the project and not worth a marker is delivered, and then the session's."""
+    line, pad = "one short line", "p" * 280
+    df = spark.createDataFrame([(s, k, "r", f"{line}\n{pad}{k}") for k, s in enumerate("abb")], "scope string, seq long, reader string, text string")
+    got = {r.seq: (r.session_seen, r.project_seen, len(r.folds)) for r in ledger.two_scopes(df, F.lit("p")).collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 1, 0), 2: (1, 0, 0)}
+
+
+def test_ledger_prunes_by_age():
+    walk = ledger.Walk(ttl=1000)
+    lines = [("h", 200, False), ("g", 200, False)]
+    assert walk.payload("s", None, 90_000, "x", "c", lines, lambda a, b: "")["session_seen"] == 0
+    assert walk.payload("s", None, 90_500, "x", "c", lines, lambda a, b: "")["session_seen"] == 2
+    assert walk.payload("s", None, 190_000, "x", "c", lines, lambda a, b: "")["session_seen"] == 0
+
+
+def test_fold_shifts():
+    assert ledger.shift_of(set(), 5, 0) == 0 and ledger.shift_of({0, 1, 2, 3, 4}, 5, 1) == 0
+    assert ledger.shift_of({3, 4}, 5, 0) == 0 and ledger.shift_of({0, 1, 2}, 5, 1) == 2 and ledger.shift_of({0, 1, 2}, 5, 2) == 1
+    assert ledger.shift_of({1, 2}, 5, 0) is None
 
 
 def _settled_slowly(patterns, least=3):
