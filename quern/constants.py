@@ -35,6 +35,7 @@ BOOST_SCORE = 0.7
 CONTEXT_BOOST_CAP = 0.4
 KEEP_SCORE = 0.3
 
+#: Windows, floors and bounds of the operators.
 RERUN_WINDOW_SECS = 300
 RERUN_MIN_SAMPLES = 8
 POST_HOOK_FIX_TS = 1784731675
@@ -70,7 +71,10 @@ BUDGET_CAUTION = 60
 BUDGET_STOP = 80
 ESCALATE = 90
 
-#: Route thresholds by mode: keep, soft.
+HOST_OUTPUT_CAP = 30_000
+MAX_ERRORS = 5
+
+#: Route thresholds by mode: keep, soft.
 ROUTE_MODES = {
     "debug": (0.90, 0.50), "conservative": (0.75, 0.40), "balanced": (0.70, 0.30), "auto": (0.70, 0.30), "efficient": (0.60, 0.20),
     "aggressive": (0.60, 0.20),

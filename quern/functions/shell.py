@@ -97,17 +97,6 @@ def redact_line(line: Column) -> Column:
     return F.when(secret, F.concat(F.regexp_extract(line, r"^(\s*(?:export\s+)?[A-Za-z0-9_]+=)", 1), F.lit(MASK))).otherwise(line)
 
 
-def safe_slice(max_bytes: int):
-    """A text cut to so many bytes, at a character's end."""
-
-    @F.pandas_udf("string")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: None if t is None else t if len(t) * 4 <= max_bytes else t.encode()[:max_bytes].decode(errors="ignore"))
-
-    return cut
-
-
 def head_tail(max_bytes: int, tail_share: int = 5):
     """A long text's beginning and end at line breaks, a fifth for the end, and a marker between."""
 

@@ -99,8 +99,9 @@ def file_paths(c: Column) -> Column:
 
 
 def human_bytes(c: Column) -> Column:
-    """B below 1024, then KB and MB with one decimal."""
-    return F.when(c < 1024, F.format_string("%d B", c)).when(c < 1024 * 1024, F.format_string("%.1f KB", c / 1024.0)).otherwise(F.format_string("%.1f MB", c / 1048576.0))
+    """B below 1024, then KB, MB and GB with one decimal."""
+    small = F.when(c < 1024, F.format_string("%d B", c)).when(c < 1 << 20, F.format_string("%.1f KB", c / 1024.0))
+    return small.when(c < 1 << 30, F.format_string("%.1f MB", c / 1048576.0)).otherwise(F.format_string("%.1f GB", c / 1073741824.0))
 
 
 def age(seconds: Column) -> Column:
@@ -117,13 +118,52 @@ def trim_enormous(c: Column) -> Column:
     return F.when((F.octet_length(c) > 2_000_000) & (F.size(own) > 6000), cut).otherwise(c)
 
 
-#: Programs known by two words.
-TWO_WORD = ("git", "cargo", "npm", "yarn", "pnpm", "docker", "kubectl", "go", "pip", "terraform", "helm", "aws", "gh", "make")
+def safe_slice(c: Column, most: int) -> Column:
+    """A text's first `most` bytes, without a character that is cut: each byte from 80 to BF belongs to the one before it."""
+    raw = F.encode(c, "UTF-8")
+    byte = lambda k: F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int")
+    inside = lambda k: (byte(k) >= 128) & (byte(k) < 192)
+    # A character has three bytes after its first: the cut goes back while the byte behind it is one of those.
+    end = F.when(~inside(F.lit(most + 1)), most).when(~inside(F.lit(most)), most - 1).when(~inside(F.lit(most - 1)), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(c) > most, F.decode(F.substring(raw, F.lit(1), end), "UTF-8")).otherwise(c)
 
 
-def command_family(c: Column) -> Column:
-    """The program, and its first word where the program is known by two."""
-    words = F.filter(F.split(strip_assignments(c), r"\s+"), lambda x: x != "")
-    first = F.regexp_extract(F.coalesce(F.get(words, F.lit(0)), F.lit("")), r"([^/]*)$", 1)
-    second = F.get(words, F.lit(1))
-    return F.when(first.isin(*TWO_WORD) & second.isNotNull() & ~F.coalesce(second, F.lit("")).startswith("-"), F.concat_ws(" ", first, second)).otherwise(first)
+#: What a file's ending says of its content.
+HINTS = {
+    "code": ("rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "kt", "c", "cpp", "h", "hpp", "cs", "php", "ruby", "rb"), "json": ("json", "toml", "yaml", "yml"), "build_log": ("log",), "prose": ("md", "txt"),
+}
+
+
+def content_hint(path: Column) -> Column:
+    """What a token estimate should take a file for."""
+    ending = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    out = F.when(F.lit(False), "mixed")
+    for hint, endings in HINTS.items():
+        out = out.when(ending.isin(*endings), hint)
+    return out.otherwise("mixed")
+
+
+def truncated(c: Column, most: int) -> Column:
+    """A text cut to `most` bytes and three dots, or as it is."""
+    return F.when(F.octet_length(c) > most, F.concat(safe_slice(c, most), F.lit("..."))).otherwise(c)
+
+
+def columns_truncated(c: Column, most: int) -> Column:
+    """A text cut to `most` columns of a terminal and three dots: wide letters take two, marks none."""
+    wide = "\u1100-\u115f\u2e80-\u303e\u3041-\u33ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\uffe0-\uffe6\\x{1f300}-\\x{1f64f}\\x{1f900}-\\x{1f9ff}\\x{20000}-\\x{3fffd}"
+    width = lambda x: F.when(x.rlike(r"^[\p{Mn}\p{Me}\p{Cf}\p{Cc}]$"), 0).when(x.rlike(f"^[{wide}]$"), 2).otherwise(1)
+    each = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"), F.lit(False).alias("over"))
+    walked = F.aggregate(each, start, lambda s, x: F.when(s["over"] | (s["at"] + width(x) > most), F.struct(s["at"], s["kept"], F.lit(True).alias("over"))).otherwise(
+        F.struct((s["at"] + width(x)).alias("at"), F.concat(s["kept"], x).alias("kept"), F.lit(False).alias("over"))))
+    return F.when(walked["over"], F.concat(walked["kept"], F.lit("..."))).otherwise(c)
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c, 0)
+
+
+def bar(pct: Column, width: int = 20) -> Column:
+    """A bar of so many marks, filled to a percentage."""
+    full = F.least(F.round(pct / 100 * width), F.lit(width)).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.stem import stems
+
 K1, B = 1.2, 0.75
 
 
@@ -12,6 +14,33 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _postings(corpus: DataFrame, split, terms: DataFrame) -> DataFrame:
+    """term, doc_id, size, tf of the terms asked for, and a row of the term '' for each document.
+
+    The corpus is split once: what needs the number of documents, their mean size or a term's
+    spread reads these rows again, from one exchange.
+    """
+    sized = corpus.select("doc_id", split(F.col("text")).alias("tokens"))
+    each = sized.select("doc_id", F.size("tokens").alias("size"), F.posexplode_outer("tokens").alias("pos", "term"))
+    asked = each.join(terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
+    kept = F.array_compact(F.array(F.when(F.col("asked"), F.col("term")), F.when(F.coalesce("pos", F.lit(0)) == 0, F.lit(""))))
+    return asked.select("doc_id", "size", F.explode(kept).alias("term")).select(F.coalesce("term", F.lit("")).alias("term"), "doc_id", "size").groupBy("term", "doc_id", "size").agg(F.count("*").alias("tf"))
+
+
+def _counts(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, df), and one row of n and mean. Both take all columns, so that they share the exchange of `hits`."""
+    spread = hits.groupBy("term").agg(F.sum((F.col("tf") + F.col("size") >= 0).cast("long")).alias("df"))
+    whole = hits.agg(F.count(F.when((F.col("term") == "") & (F.col("tf") > 0), 1)).alias("n"), F.avg(F.when(F.col("term") == "", F.col("size"))).alias("mean"))
+    return spread, whole
+
+
+def _weighed(hits: DataFrame, idf: Column) -> DataFrame:
+    """term, doc_id, part: what a term adds to a document's score."""
+    spread, whole = _counts(hits)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    return hits.join(spread, "term").crossJoin(F.broadcast(whole)).select("term", "doc_id", part.alias("part"))  # whole is one row
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """query_id, doc_id, score, place: the best `most` documents of each query.
 
@@ -20,18 +49,63 @@ def bm25(corpus: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     where they are small.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sized = corpus.select("doc_id", tokens(F.col("text")).alias("tokens")).withColumn("size", F.size("tokens"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    hits = sized.select("doc_id", "size", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "size").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(whole)).select("term", "doc_id", part.alias("part"))  # whole is one row
-    total = terms.join(scored, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    total = terms.join(_weighed(_postings(corpus, tokens, terms), idf), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return _best(total, most)
+
+
+def _best(total: DataFrame, most: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return total.withColumn("place", place.cast("long")).where(F.col("place") <= most)
 
 
+def ascii_tokens(c: Column) -> Column:
+    """Runs of letters and digits; what isn't ASCII is part of a word, only A-Z is lowered."""
+    return F.regexp_extract_all(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([a-z0-9[^\x00-\x7f]]+)"), F.lit(1))
+
+
+def unicode_tokens(c: Column) -> Column:
+    """Runs of letters and digits in small letters, without their accents."""
+    bare = F.regexp_replace(F.lower(c), r"\p{Mn}", "")
+    return F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def matching(corpus: DataFrame, queries: DataFrame, most: int, split=ascii_tokens) -> DataFrame:
+    """query_id, doc_id, score, place: documents of the query's scope that hold the stems of all its words, best first.
+
+    corpus: doc_id, scope, text; queries: query_id, scope (null: any), text. Weights are of the
+    whole corpus; a word that most documents hold weighs next to nothing, never less.
+    """
+    asked = queries.select("query_id", "scope", F.explode(F.array_distinct(split(F.col("text")))).alias("word")).withColumn("term", stems("word")).select("query_id", "scope", "term").distinct()
+    needed = asked.groupBy("query_id", F.col("scope").alias("asked_scope")).agg(F.count("*").alias("needed"))
+    words = corpus.select("doc_id", split(F.col("text")).alias("tokens"))
+    each = words.select("doc_id", F.size("tokens").alias("size"), F.explode_outer("tokens").alias("word"))
+    counted = each.groupBy("doc_id", "size", "word").agg(F.count("*").alias("tf"))  # a document's word is stemmed once
+    stemmed = counted.select("doc_id", "size", F.coalesce(stems("word"), F.lit("")).alias("term"), "tf")
+    hits = stemmed.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "size").agg(F.sum("tf").alias("tf"))
+    spread = hits.groupBy("term").agg(F.count("*").alias("df"))
+    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    weighed = hits.join(spread, "term").crossJoin(F.broadcast(whole)).select("term", "doc_id", part.alias("part"))  # whole is one row
+    found = asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("held"))
+    full = found.join(needed, "query_id").where("held = needed").join(corpus.select("doc_id", "scope"), "doc_id").where("asked_scope IS NULL OR asked_scope = scope")
+    return _best(full.select("query_id", "doc_id", F.round("score", 9).alias("score")), most)
+
+
+def content_search(content: DataFrame, queries: DataFrame, most: int, columns: tuple[str, ...], project: str = "project_hash") -> DataFrame:
+    """matching() over several columns of a table with a key `id`, and the rows found."""
+    rows = content.select(F.col("id").alias("doc_id"), F.col(project).alias("scope"), F.concat_ws(" ", *columns).alias("text"))
+    return matching(rows, queries, most, unicode_tokens).join(content.withColumnRenamed("id", "doc_id"), "doc_id")
+
+
+def retrieved(archive: DataFrame, pulls: DataFrame) -> DataFrame:
+    """hash, content, original_len, retrieved, owed for each archived text: pulls (hash) are counted, and each owes a delivery."""
+    counted = pulls.groupBy("hash").agg(F.count("*").alias("retrieved"))
+    n = F.coalesce("retrieved", F.lit(0)).cast("long")
+    return archive.join(counted, "hash", "left").select("hash", "content", "original_len", n.alias("retrieved"), n.alias("owed"))
+
+
 def unified_recall(knowledge: DataFrame, engrams: DataFrame, most: int) -> DataFrame:
     """source, key, score: knowledge (key, confidence) at ten times its confidence, engrams (key, rank) at their rank's size."""
     a = knowledge.select(F.lit("knowledge").alias("source"), F.col("key").cast("string").alias("key"), (F.col("confidence") * 10).alias("score"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quern import constants as K
 from quern.operators import history as H
-from quern.operators import routing
+from quern.operators import reports, routing
 from quern.plans.catalog import query
-from quern.sources.views import HISTORY_SQL, history
+from quern.sources.views import HISTORY_SQL, PASSED_SQL, history, passthroughs
 
 #: A moment inside the history: its reports look back from here.
 NOW = K.POST_HOOK_FIX_TS + 10 * 86400
@@ -138,9 +138,12 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.retained(history(spark, sf_dir), NOW, K.TRACE_DAYS).select("id", "session_id", "ts")
 
 
-@query(f"{_W} SELECT route AS reason, count(*) AS n, sum(input_bytes)::BIGINT AS bytes FROM history WHERE route IN ('Passthrough', 'Rewind') GROUP BY 1")
+@query(f"WITH {HISTORY_SQL}, {PASSED_SQL} SELECT reason, count(*) AS calls, sum(bytes)::BIGINT AS bytes FROM passed WHERE reason IS NOT NULL GROUP BY 1")
 def passthrough_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history(spark, sf_dir).where(F.col("route").isin("Passthrough", "Rewind")).groupBy(F.col("route").alias("reason")).agg(F.count("*").alias("n"), F.sum("input_bytes").alias("bytes")).orderBy(F.desc("n"), "reason")
+    """Why calls were left as they are: the first gate that held them."""
+    own = passthroughs(spark, sf_dir)
+    why = routing.passthrough_reason(*[F.col(c) for c in ("recovery", "structured", "capped", "guardrail", "fidelity")])
+    return reports.reasons(own.withColumn("reason", why))
 
 
 _RETRIEVES = "r AS (SELECT upper(substr(command, 1, 5)) AS prefix, count(*) AS retrieves FROM history WHERE rewind_hash <> '' GROUP BY 1)"

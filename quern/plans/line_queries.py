@@ -36,13 +36,15 @@ _BLOCK = f"""CASE WHEN {_starts("low", K.PROGRESS_STARTS)}
   WHEN regexp_matches(line, '[\\w./\\-]+\\.\\w+:\\d+(:\\d+)?') OR (starts_with(c, 'at ') AND contains(line, '(') AND contains(line, ')')) OR starts_with(line, '    ') OR starts_with(line, chr(9)) THEN 'Context'
   WHEN (starts_with(c, '{{') AND ends_with(c, '}}')) OR (starts_with(c, '[') AND ends_with(c, ']')) THEN 'Data' ELSE 'Context' END"""
 _SCORE = "CASE WHEN class IN ('Progress', 'Noise', 'Critical') THEN 0.9 WHEN class IN ('Diagnostic', 'Data') THEN 0.8 WHEN plain THEN 0.4 ELSE 0.7 END"
-_TIERED = f"""{LOG_SQL}, low AS (SELECT *, lower(line) AS low, {_TRIM} AS c FROM log),
+#: Tiered lines of a relation `log`.
+TIERED = f"""low AS (SELECT *, lower(line) AS low, {_TRIM} AS c FROM log),
 blocks AS (SELECT doc_id, i, line, {_BLOCK} AS class,
   NOT (regexp_matches(line, '[\\w./\\-]+\\.\\w+:\\d+(:\\d+)?') OR (starts_with(c, 'at ') AND contains(line, '(') AND contains(line, ')')) OR starts_with(line, '    ') OR starts_with(line, chr(9))) AS plain FROM low),
 tiered AS (SELECT doc_id, i, line, class, CASE class WHEN 'Critical' THEN 'Critical' WHEN 'Diagnostic' THEN 'Important' WHEN 'Context' THEN 'Context' WHEN 'Data' THEN 'Context' ELSE 'Noise' END AS tier, ({_SCORE})::DOUBLE AS base_score FROM blocks),
 since AS (SELECT *, i - last_value(CASE WHEN tier = 'Critical' THEN i END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gap FROM tiered),
 lifted AS (SELECT doc_id, i, line, class, CASE WHEN gap BETWEEN 1 AND {K.BOOST_LINES} AND tier IN ('Context', 'Noise') THEN 'Important' ELSE tier END AS tier,
   CASE WHEN gap BETWEEN 1 AND {K.BOOST_LINES} AND tier IN ('Context', 'Noise') THEN {K.BOOST_SCORE} ELSE base_score END AS base_score FROM since)"""
+_TIERED = f"{LOG_SQL}, {TIERED}"
 
 
 @query(f"WITH {LOG_SQL}, t AS (SELECT {_TRIM} AS c FROM log) SELECT {_TIER} AS tier, count(*) AS n_lines FROM t GROUP BY 1")

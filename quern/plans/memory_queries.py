@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import constants as K
 from quern.functions import text
 from quern.operators import history as H
 from quern.operators import lines as L
 from quern.operators import memory as M
 from quern.plans.catalog import query
-from quern.sources.views import HISTORY_SQL, LOG_SQL, history, log_lines, table
+from quern.sources.views import HISTORY_SQL, LOG_SQL, PULLS_SQL, history, log_lines, pulls, table
 
 _W = f"WITH {HISTORY_SQL}"
 
@@ -54,10 +55,15 @@ def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.milestones(history(spark, sf_dir))
 
 
-@query(f"{_W}, u AS (SELECT session_id, sum(filtered_tokens)::BIGINT AS used, bool_or(route = 'Rewind') AS failing FROM history GROUP BY 1) SELECT session_id, used, CASE WHEN used * 100 / 100000 > 90 THEN 'ESCALATE' WHEN failing THEN 'RETRY' WHEN used * 100 / 100000 >= 80 THEN 'STOP' ELSE 'CONTINUE' END AS status FROM u")
+@query(f"""{_W}, u AS (SELECT session_id, sum(filtered_tokens)::BIGINT AS used, count(*) FILTER (WHERE route = 'Rewind') AS errors, 2000 * (session_id::BIGINT % 4) AS budget FROM history GROUP BY 1)
+SELECT session_id, used, CASE WHEN budget > 0 AND used > floor(budget * 0.9::DOUBLE) THEN 'ESCALATE' WHEN used * 50 >= {K.PRESSURE_CRITICAL}::DOUBLE * {K.PRESSURE_WINDOW} THEN 'COMPACT_OR_ESCALATE' ELSE 'CONTINUE' END AS status,
+  CASE WHEN errors > 0 THEN 'fix_errors' ELSE 'proceed_goal' END AS focus FROM u""")
 def loop_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = history(spark, sf_dir).groupBy("session_id").agg(F.sum("filtered_tokens").alias("used"), F.bool_or(F.col("route") == "Rewind").alias("failing"))
-    return own.select("session_id", "used", M.loop_status(F.col("used"), F.lit(100000), F.col("failing")).alias("status"))
+    """Sessions with a budget of 0 (none) to 6,000 tokens, in a context that fifty of them fill."""
+    own = history(spark, sf_dir).groupBy("session_id").agg(F.sum("filtered_tokens").alias("used"), F.count_if(F.col("route") == "Rewind").alias("errors"))
+    pressure = F.when(F.col("used") * 50 >= K.PRESSURE_CRITICAL * K.PRESSURE_WINDOW, "Critical").otherwise("Normal")
+    budget = F.pmod(F.col("session_id").cast("long"), F.lit(4)) * 2000
+    return own.select("session_id", "used", M.loop_status(F.col("used"), budget, pressure).alias("status"), M.suggested_focus(F.col("errors")).alias("focus"))
 
 
 @query("SELECT page_id, split_part(url, '/', 3) AS host, strlen(html) AS n_bytes, ceil(strlen(html) / 3.2)::BIGINT AS code_tokens FROM pages")
@@ -74,12 +80,16 @@ def ansi_and_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.strip_ansi(coloured).alias("stripped"), M.commit_message(commit).alias("message"))
 
 
-@query("SELECT DISTINCT 'm' || user_id || '.py' AS source, unnest(['pkg.' || event_type, 'os']) AS target FROM events")
+@query("""WITH f AS (SELECT DISTINCT user_id % 40 AS k FROM events), s AS (SELECT DISTINCT user_id % 40 AS k, event_type AS t FROM events), c AS (SELECT DISTINCT event_type AS t FROM events)
+SELECT 'src/m' || k || '.py' AS source, 'pkg/' || t || '.py' AS target FROM s WHERE t IN ('view', 'click') UNION SELECT 'src/m' || a.k || '.py', 'src/m' || b.k || '.py' FROM f a JOIN f b ON b.k = a.k // 2""")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of imports made from events."""
-    body = F.concat(F.lit("from pkg."), F.col("event_type"), F.lit(" import x\nimport os\nx = 1\n"))
-    files = table(spark, sf_dir, "events").select(F.concat(F.lit("m"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), body.alias("text"))
-    return M.import_edges(files).distinct()
+    """Files made from events: modules of which only some exist, packages, and files beside them."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("k"), "event_type").distinct()
+    k = F.col("k").cast("string")
+    body = F.concat(F.lit("from pkg."), F.col("event_type"), F.lit(" import x\nimport os, re\nimport ./m"), F.expr("cast(k div 2 AS string)"), F.lit("\nimport src.m"), F.expr("cast(k div 2 AS string)"), F.lit("\nx = 1\n"))
+    files = e.select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), body.alias("text"))
+    there = files.unionByName(spark.createDataFrame([(f"pkg/{t}.py", "") for t in ("view", "click")], "path string, text string"))
+    return M.resolved_imports(M.import_edges(files), there).where("source <> ''")
 
 
 @query(f"""WITH {LOG_SQL}, m AS (SELECT *, CASE WHEN starts_with(line, 'error') THEN 1 WHEN trim(line) = '' THEN 0 END AS mark FROM log),
@@ -99,9 +109,16 @@ def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.diagnose(history(spark, sf_dir).select(F.col("id").alias("key"), raw.alias("raw"), reduced.alias("reduced")))
 
 
-@query(f"{_W} SELECT count(*) AS calls, count(*) FILTER (WHERE rewind_hash <> '') AS archived, count(*) FILTER (WHERE route = 'Rewind') AS rewound, count(*) FILTER (WHERE delivered_bytes = -1) AS unknown FROM history")
+@query(f"""{_W}, {PULLS_SQL}, n AS (SELECT max(ts) AS now FROM history) SELECT (SELECT count(*) FROM pulls) AS memory_reads, (SELECT count(*) FROM labels) AS engrams, (SELECT count(*) FROM benchmark) AS knowledge,
+  (SELECT count(*) FROM pulls, n WHERE ts >= now - now % 86400) AS recalls_today, (SELECT count(DISTINCT session_id) FROM history) AS sessions""")
 def memory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history(spark, sf_dir).agg(F.count("*").alias("calls"), F.count_if(F.col("rewind_hash") != "").alias("archived"), F.count_if(F.col("route") == "Rewind").alias("rewound"), F.count_if(F.col("delivered_bytes") == -1).alias("unknown"))
+    """How often memory was read, and what it holds; each count is one row."""
+    h, p = history(spark, sf_dir), pulls(spark, sf_dir)
+    now = h.agg(F.max("ts").alias("now"))
+    read = p.crossJoin(F.broadcast(now)).agg(F.count("*").alias("memory_reads"), F.count_if(F.col("ts") >= F.col("now") - F.col("now") % 86400).alias("recalls_today"))
+    for name, own in (("engrams", table(spark, sf_dir, "labels")), ("knowledge", table(spark, sf_dir, "benchmark")), ("sessions", h.select("session_id").distinct())):
+        read = read.crossJoin(F.broadcast(own.agg(F.count("*").alias(name))))
+    return read
 
 
 @query(f"{_W} SELECT session_id, total_commands, ended_at FROM (SELECT session_id, count(*) AS total_commands, max(ts) AS ended_at FROM history GROUP BY 1) ORDER BY ended_at DESC, session_id LIMIT 10")

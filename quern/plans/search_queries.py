@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import rules, text
-from quern.operators import lines as L
+from quern.operators import memory as M
 from quern.operators import routing, search
 from quern.plans.catalog import query
 from quern.plans.language import parse, planned
-from quern.plans.line_queries import _TIERED
-from quern.sources.views import HISTORY_SQL, LOG_SQL, history, log_lines, table
+from quern.plans.line_queries import TIERED
+from quern.sources.views import ARCHIVE_SQL, HISTORY_SQL, LOG_SQL, PULLS_SQL, archive, history, log_lines, pulls, table
 
 _BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '([\\pL\\pN]+)', 1))) AS term FROM benchmark),
 s AS (SELECT doc_id, regexp_extract_all(lower(text), '([\\pL\\pN]+)', 1) AS tokens FROM documents), z AS (SELECT doc_id, len(tokens) AS size, tokens FROM s),
@@ -82,10 +82,13 @@ def tool_family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir).groupBy(F.col("filter_name").alias("tool")).agg(F.count("*").alias("total"), F.count_if(F.col("route") != "Rewind").alias("ok"), F.count_if(F.col("route") == "Rewind").alias("err"), F.min_by("route", F.struct("ts", "id")).alias("last_status"))
 
 
-@query("SELECT source, min(url) AS first_url, max(url) AS last_url, count(*) AS n FROM (SELECT split_part(url, '/', 3) AS source, url FROM pages) GROUP BY 1")
+@query("""WITH f AS (SELECT user_id, '/p/' || user_id % 3 || CASE WHEN user_id % 2 = 0 THEN '/app/' || event_type ELSE '/lib' END || '/f' || event_id || '.py' AS path, event_type FROM events)
+SELECT user_id AS session_id, CASE WHEN user_id % 2 = 1 THEN 'lib' WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'app' END AS domain FROM f GROUP BY 1""")
 def infer_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The common prefix of a host's pages is that of its first and last by name."""
-    return table(spark, sf_dir, "pages").groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("source")).agg(F.min("url").alias("first_url"), F.max("url").alias("last_url"), F.count("*").alias("n"))
+    """Where a session works: the last segment that the folders of its files share."""
+    u, n = F.col("user_id"), F.col("event_id").cast("string")
+    folder = F.concat(F.lit("/p/"), (u % 3).cast("string"), F.when(u % 2 == 0, F.concat(F.lit("/app/"), "event_type")).otherwise("/lib"))
+    return M.infer_domain(table(spark, sf_dir, "events").select(u.alias("session_id"), F.concat(folder, F.lit("/f"), n, F.lit(".py")).alias("path")))
 
 
 _COMMANDS = (
@@ -116,25 +119,53 @@ def adaptive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.adapted(rates).select("project_path", "rate", F.round("keep", 6).alias("keep"), F.round("soft", 6).alias("soft"))
 
 
-@query(f"""WITH {_TIERED}, last AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM log) ORDER BY doc_id DESC LIMIT 20)
-SELECT doc_id, i, line FROM lifted WHERE tier = 'Critical' AND doc_id IN (SELECT doc_id FROM last)""")
+def _answer(form: str, chosen: str) -> str:
+    """Tiered lines of the archived outputs of some calls."""
+    return f"""WITH {HISTORY_SQL}, {ARCHIVE_SQL}, c AS ({chosen}), log AS (SELECT id AS doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::BIGINT AS i FROM c JOIN archive a ON a.hash = c.rewind_hash),
+{TIERED} SELECT l.doc_id AS id, c.ts, c.command, l.i, l.line FROM lifted l JOIN c ON c.id = l.doc_id WHERE l.tier = '{form}'"""
+
+
+@query(_answer("Critical", "SELECT * FROM history WHERE rewind_hash <> '' ORDER BY ts DESC, id DESC LIMIT 20"))
 def q_errors_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planned(parse("errors in last 20 commands"), L.boosted(L.classified(log_lines(spark, sf_dir))))
+    return planned(parse("errors in last 20 commands"), history(spark, sf_dir), archive(spark, sf_dir))
 
 
-@query(f"WITH {_TIERED} SELECT doc_id, i, line FROM lifted WHERE tier = 'Important' AND line ILIKE 'get%'")
+@query(_answer("Important", "SELECT * FROM history WHERE rewind_hash <> '' AND (command ILIKE 'view%' OR filter_name ILIKE 'view%') ORDER BY ts DESC, id DESC LIMIT 50"))
 def q_warnings_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planned(parse("Warnings from GET"), L.boosted(L.classified(log_lines(spark, sf_dir))))
+    return planned(parse("Warnings from VIEW"), history(spark, sf_dir), archive(spark, sf_dir))
 
 
-@query(f"WITH {LOG_SQL} SELECT doc_id, i, line FROM log WHERE contains(line, 'buy_1')")
+@query(f"""WITH {HISTORY_SQL}, {ARCHIVE_SQL}, t AS (SELECT * FROM archive WHERE content ILIKE '%src/file\_7.%' ESCAPE '\' ORDER BY ts DESC, hash LIMIT 20), o AS (SELECT *, list_filter(string_split(content, chr(10)), lambda x: contains(x, 'src/file_7.')) AS own FROM t)
+SELECT hash, ts, (SELECT arg_min(command, row(h.ts, h.id)) FROM history h WHERE h.rewind_hash = o.hash) AS command, len(own) AS matches, array_to_string(own, chr(10)) AS lines FROM o WHERE len(own) > 0""")
 def q_context_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planned(parse("context for buy_1"), log_lines(spark, sf_dir))
+    return planned(parse("context for src/file_7."), history(spark, sf_dir), archive(spark, sf_dir))
 
 
-@query(f"WITH {HISTORY_SQL}, m AS (SELECT max(ts) AS now FROM history) SELECT id, ts, command, route FROM history, m WHERE ts >= now - now % 86400")
+@query(f"""WITH {HISTORY_SQL}, m AS (SELECT max(ts) AS now FROM history) SELECT id, ts, command, route, round(CASE WHEN input_bytes > 0 THEN (1 - output_bytes / input_bytes) * 100 ELSE 0 END, 6) AS saved_pct FROM history, m WHERE ts >= now - now % 86400""")
 def q_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planned(parse("timeline today"), history(spark, sf_dir)).select("id", "ts", "command", "route")
+    return planned(parse("timeline today"), history(spark, sf_dir), archive(spark, sf_dir))
+
+
+@query(f"""WITH {HISTORY_SQL}, {ARCHIVE_SQL}, {PULLS_SQL} SELECT hash, strlen(content) AS original_len, (SELECT count(*) FROM pulls p WHERE p.hash = a.hash) AS retrieved, (SELECT count(*) FROM pulls p WHERE p.hash = a.hash) AS owed, content FROM archive a""")
+def retrieve_by_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = archive(spark, sf_dir).withColumn("original_len", F.octet_length("content").cast("long"))
+    return search.retrieved(own, pulls(spark, sf_dir))
+
+
+@query()
+def event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation that hold the stems of all words asked for, best first; tested against a loop."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("turn = 1").select(F.col("conv_id").alias("query_id"), F.col("conv_id").cast("string").alias("scope"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("text"))
+    return search.matching(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").cast("string").alias("scope"), "text"), asked, 5)
+
+
+@query()
+def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge of any project that holds the stems of two words, with its content."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("p").alias("project_hash"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("key"), F.col("text").alias("value"))
+    asked = items.select(F.col("id").alias("query_id"), F.lit(None).cast("string").alias("scope"), F.array_join(F.slice(F.split("value", r"\s+"), 2, 2), " ").alias("text"))
+    return search.content_search(items, asked, 3, ("key", "value")).select("query_id", "doc_id", "place", "score", "key")
 
 
 @query(r"SELECT event_id, event_type || ' ' || (event_id % 7)::VARCHAR AS short, event_type AS program, coalesce(ceil(strlen(props) / 2.8), 0)::BIGINT AS json_tokens FROM events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,3 +82,46 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scope, seq, reader, text: documents as payloads, one scope a source."""
     return table(spark, sf_dir, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("seq"), F.col("lang").alias("reader"), "text")
+
+
+def _archived() -> Column:
+    """What an archived call printed, from its number and kind."""
+    n = F.col("id").cast("string")
+    lines = [
+        F.concat(F.lit("Compiling unit_"), n), F.concat(F.col("filter_name"), F.lit(" started")),
+        F.when(F.col("filter_name") == "error", F.concat(F.lit("error[E"), (F.col("id") % 9).cast("string"), F.lit("]: bad unit"))).otherwise("note: fine"),
+        F.concat(F.lit("  --> src/file_"), (F.col("id") % 20).cast("string"), F.lit(".rs:"), n),
+        *[F.lit(f"plain {x}") for x in "abcdefg"], F.concat(F.lit("warning: unused x"), (F.col("id") % 4).cast("string")), F.lit("end"),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hash, ts, content of the calls whose output was archived."""
+    rows = history(spark, sf_dir).where("rewind_hash <> ''")
+    return rows.select(F.col("rewind_hash").alias("hash"), "ts", _archived().alias("content"))
+
+
+ARCHIVE_SQL = """archive AS (SELECT rewind_hash AS hash, ts, concat_ws(chr(10), 'Compiling unit_' || id, filter_name || ' started', CASE WHEN filter_name = 'error' THEN 'error[E' || id % 9 || ']: bad unit' ELSE 'note: fine' END,
+  '  --> src/file_' || id % 20 || '.rs:' || id, """ + ", ".join(f"'plain {x}'" for x in "abcdefg") + """, 'warning: unused x' || id % 4, 'end') AS content FROM history WHERE rewind_hash <> '')"""
+
+
+def passthroughs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ts, command, bytes and what the gates found, for each call that was left as it is."""
+    rows = history(spark, sf_dir).where("route = 'Passthrough'")
+    return rows.select(
+        "id", "ts", "command", F.col("input_bytes").alias("bytes"), (F.col("id") % 17 == 0).alias("recovery"), F.when(F.col("id") % 5 == 0, F.when(F.col("id") % 2 == 0, "json").otherwise("yaml")).alias("structured"),
+        (F.col("id") % 7 == 0).alias("capped"), (F.col("id") % 3 != 0).alias("guardrail"), (F.col("id") % 4 != 0).alias("fidelity"),
+    )
+
+
+PASSED_SQL = """passed AS (SELECT id, ts, command, input_bytes AS bytes, CASE WHEN id % 17 = 0 THEN 'own recovery command' WHEN id % 5 = 0 THEN CASE WHEN id % 2 = 0 THEN 'structured:json' ELSE 'structured:yaml' END
+  WHEN id % 7 = 0 THEN 'host output cap' WHEN id % 3 = 0 THEN 'below guardrail' WHEN id % 4 = 0 THEN 'would have dropped the failure' END AS reason FROM history WHERE route = 'Passthrough')"""
+
+
+def pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hash, ts, agent_id, command of each time an archived output was asked for."""
+    return history(spark, sf_dir).where("rewind_hash <> '' AND id % 4 = 0").select(F.col("rewind_hash").alias("hash"), "ts", "agent_id", "command", "project_path")
+
+
+PULLS_SQL = "pulls AS (SELECT rewind_hash AS hash, ts, agent_id, command, project_path FROM history WHERE rewind_hash <> '' AND id % 4 = 0)"

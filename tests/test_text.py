@@ -167,4 +167,4 @@ def test_cuts(say):
     body = "".join(f"line {k}\n" for k in range(100))
     out = say(shell.head_tail(200), [body, "short", "é" * 300, None])
     assert out[0].startswith("line 0\n") and out[0].endswith("line 99\n") and "lines kept" in out[0] and out[1] == "short" and "200 of 600 bytes" in out[2] and out[3] is None
-    assert say(shell.safe_slice(5), ["ééé", "abc", "abcdefgh"]) == ["éé", "abc", "abcde"]
+    assert say(lambda c: text.safe_slice(c, 5), ["ééé", "abc", "abcdefgh"]) == ["éé", "abc", "abcde"]
