@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import lines as L
+from quern.operators import renders
 from quern.operators import summaries as S
 from quern.plans.catalog import query
 from quern.plans.line_queries import _TIERED
@@ -139,3 +140,56 @@ def sum_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, i, line, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) - 1 AS gap FROM p WHERE place <= 20""")
 def sum_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.generic(L.boosted(L.classified(log_lines(spark, sf_dir))), 20)
+
+
+def _made_texts(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
+    """doc_id, text: a tool's made lines put together."""
+    own = made_lines(spark, sf_dir, tool).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("rows"))
+    return own.select("doc_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
+
+
+def _rendered(name: str, tool: str, render, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _made_texts(spark, sf_dir, tool).select("doc_id", render(F.col("text")).alias("summary"))
+
+    run.__name__ = name
+    query(f"WITH {_lines_sql(tool)}, {sql}")(run)
+
+
+_rendered("render_security", "security", renders.security, """n AS (SELECT *, CASE WHEN contains(line, 'CRITICAL') THEN 4 WHEN contains(line, 'HIGH') THEN 3 WHEN contains(line, 'MEDIUM') THEN 2 WHEN contains(line, 'LOW') THEN 1 END AS l FROM lines),
+a AS (SELECT doc_id, count(*) FILTER (WHERE l = 4) AS c, count(*) FILTER (WHERE l = 3) AS h, count(*) FILTER (WHERE l = 2) AS m, count(*) FILTER (WHERE l = 1) AS w, list('  🔴 ' || line ORDER BY i) FILTER (WHERE l = 4) AS cs, list('  🟠 ' || line ORDER BY i) FILTER (WHERE l = 3) AS hs FROM n GROUP BY 1)
+SELECT doc_id, CASE WHEN c + h + m > 0 THEN trim('Security scan: ' || c || ' CRITICAL, ' || h || ' HIGH, ' || m || ' MEDIUM, ' || w || ' LOW' || chr(10) || array_to_string(list_concat(coalesce(cs, [])[:5], coalesce(hs, [])[:3], CASE WHEN c + h > 8 THEN ['  ... [' || (c + h - 8) || ' more findings]'] ELSE [] END), chr(10)), ' ' || chr(10))
+  WHEN w > 0 THEN 'Security scan: no issues found ✓' END AS summary FROM a""")
+
+_rendered("render_docker_ps", "docker_ps", renders.docker_ps, """r AS (SELECT * FROM lines WHERE i > 1), k AS (SELECT *, CASE WHEN contains(lower(line), 'up ') THEN 'u' WHEN contains(lower(line), 'exited') THEN 'e' ELSE 'o' END AS k FROM r),
+a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE k = 'u') AS u, count(*) FILTER (WHERE k = 'e') AS e, count(*) FILTER (WHERE k = 'o') AS o, list(split_part(line, ' ', -1) ORDER BY i) FILTER (WHERE k = 'e') AS names FROM k GROUP BY 1)
+SELECT d.doc_id, 'docker: ' || coalesce(n, 0) || ' containers | ' || coalesce(u, 0) || ' running, ' || coalesce(e, 0) || ' exited' || CASE WHEN o > 0 THEN ', ' || o || ' other' ELSE '' END || CASE WHEN e > 0 THEN chr(10) || 'Exited: ' || array_to_string(names[:5], ', ') || CASE WHEN e > 5 THEN ' +' || (e - 5) || ' more' ELSE '' END ELSE '' END AS summary
+FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN a ON a.doc_id = d.doc_id""")
+
+_rendered("render_terraform", "terraform", renders.terraform, """r AS (SELECT *, CASE WHEN contains(line, 'will be created') THEN '+' WHEN contains(line, 'will be updated') THEN '~' WHEN contains(line, 'will be destroyed') THEN '-' END AS m FROM lines),
+a AS (SELECT doc_id, count(*) FILTER (WHERE m = '+') AS x, count(*) FILTER (WHERE m = '~') AS y, count(*) FILTER (WHERE m = '-') AS z, arg_max(regexp_extract(line, 'Plan: (\\d+)', 1), i) FILTER (WHERE starts_with(line, 'Plan:')) AS p, list(m || ' ' || split_part(trim(line), ' ', 2) ORDER BY i) FILTER (WHERE m IS NOT NULL) AS rs FROM r GROUP BY 1)
+SELECT doc_id, 'terraform: +' || CASE WHEN x > 0 THEN x::VARCHAR ELSE coalesce(p, '0') END || ' ~' || y || ' -' || z || ' resources' || CASE WHEN len(rs) > 0 THEN chr(10) || array_to_string(rs[:5], chr(10)) || CASE WHEN len(rs) > 5 THEN chr(10) || '... +' || (len(rs) - 5) || ' more' ELSE '' END ELSE '' END AS summary FROM a""")
+
+_rendered("render_vcs_list", "find", renders.vcs_list, """a AS (SELECT doc_id, list(line ORDER BY i) AS ls FROM lines GROUP BY 1)
+SELECT doc_id, CASE WHEN len(ls) > 10 THEN array_to_string(ls[:10], chr(10)) || chr(10) || '... [' || (len(ls) - 10) || ' more items, use --limit to see more]' END AS summary FROM a""")
+
+_rendered("render_prettier", "prettier", renders.prettier, """a AS (SELECT doc_id, list('  ' || line[8:] ORDER BY i) FILTER (WHERE starts_with(line, '[warn] ')) AS w, count(*) FILTER (WHERE contains(line, '(unchanged)')) AS u, list('  ' || split_part(line, ' ', 1) ORDER BY i) FILTER (WHERE line LIKE 'g%') AS g FROM lines GROUP BY 1)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN 'prettier --check: ' || len(w) || ' file(s) need formatting' || chr(10) || array_to_string(w[:20], chr(10)) || CASE WHEN len(w) > 20 THEN chr(10) || '  … and ' || (len(w) - 20) || ' more' ELSE '' END
+  ELSE 'prettier --write: ' || coalesce(len(g), 0) || ' reformatted, ' || u || ' unchanged' || CASE WHEN len(g) > 0 THEN chr(10) || array_to_string(g[:20], chr(10)) || CASE WHEN len(g) > 20 THEN chr(10) || '  … and ' || (len(g) - 20) || ' more' ELSE '' END ELSE '' END END AS summary FROM a""")
+
+#: The command whose output a tool's made lines stand for.
+COMMANDS = {
+    "git_status": "git status", "git_diff": "git diff", "git_log": "git log", "test": "cargo test", "security": "trivy image x", "docker_build": "docker build .", "helm": "helm list", "terraform": "terraform plan",
+    "tsc": "npx tsc", "eslint": "npx eslint .", "prettier": "npx prettier -w .", "database": "psql -c x", "grep": "grep -rn x .", "log": "journalctl",
+}
+
+
+@query()
+def distilled_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each tool's made outputs before and after its rendered summary; tested against authored outputs."""
+    own = None
+    for tool, command in COMMANDS.items():
+        rows = _made_texts(spark, sf_dir, tool).select(F.lit(tool).alias("tool"), F.lit(command).alias("command"), F.col("text").alias("content"))
+        own = rows if own is None else own.unionByName(rows)
+    n = F.octet_length
+    return renders.distilled(own).groupBy("tool").agg(F.count("*").alias("payloads"), F.sum(n("content")).alias("bytes_before"), F.sum(n("distilled")).alias("bytes_after"))
