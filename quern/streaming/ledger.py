@@ -1,44 +1,60 @@
 """The ledger and session counters on streams. Arrival order is truth; ties go by sequence number.
 
 State is kept by (scope, bucket of the line's hash), so a busy scope is many keys, and each
-key's first showings are what later lines are compared with.
+key's first showings are what later lines are compared with. They expire, and a compaction
+of the scope clears them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quern import constants as K
 from quern.operators.ledger import eligible, hashed_lines
 
 #: Buckets of a scope's lines, each a key with its own state.
 BUCKETS = 16
 
 _OUT = "scope string, seq long, i long, line_hash string, seen boolean"
-_STATE = "hashes array<string>, seqs array<long>"
-
-
-def _walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hashes, seqs = state.get if state.exists else ([], [])
-    known = dict(zip(hashes, seqs, strict=True))
-    rows = pd.concat(list(batches)).sort_values(["seq", "i"])
-    failing = set(zip(rows.seq[rows.failing], rows.line_hash[rows.failing], strict=True))
-    seen = []
-    for seq, h in zip(rows.seq, rows.line_hash, strict=True):
-        first = known.setdefault(h, seq)
-        seen.append(first < seq and (seq, h) not in failing)
-    state.update((list(known), list(known.values())))
-    yield pd.DataFrame({"scope": key[0], "seq": rows.seq, "i": rows.i, "line_hash": rows.line_hash, "seen": seen})
-
-
-def seen_stream(payloads: DataFrame) -> DataFrame:
-    """scope, seq, i, line_hash, seen of a stream of payloads (scope, seq, reader, text)."""
-    own = hashed_lines(eligible(payloads)).withColumn("bucket", F.pmod(F.xxhash64("line_hash"), F.lit(BUCKETS)))
-    return own.select("scope", "bucket", "seq", "i", "line_hash", "failing").groupBy("scope", "bucket").applyInPandasWithState(_walk, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+_STATE = "hashes array<string>, seqs array<long>, times array<long>"
+
+
+def _walk(ttl: int) -> Callable:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = int(time.time())
+        hashes, seqs, times = state.get if state.exists else ([], [], [])
+        known = {h: (seq, at) for h, seq, at in zip(hashes, seqs, times, strict=True) if at >= now - ttl}
+        rows = pd.concat(list(batches)).sort_values(["seq", "i"])
+        failing = set(zip(rows.seq[rows.failing], rows.line_hash[rows.failing], strict=True))
+        out = []
+        for seq, i, h in zip(rows.seq, rows.i, rows.line_hash, strict=True):
+            if i == 0:  # a compaction
+                known.clear()
+                continue
+            first, _ = known.setdefault(h, (seq, now))
+            out.append((key[0], seq, i, h, first < seq and (seq, h) not in failing))
+        state.update((list(known), [seq for seq, _ in known.values()], [at for _, at in known.values()]))
+        yield pd.DataFrame(out, columns=["scope", "seq", "i", "line_hash", "seen"])
+
+    return run
+
+
+def seen_stream(payloads: DataFrame, ttl: int = K.WORKING_DAYS * 86400) -> DataFrame:
+    """scope, seq, i, line_hash, seen of a stream of payloads (scope, seq, reader, text); a null text is a compaction of the scope.
+
+    What was first shown more than `ttl` seconds ago counts no longer.
+    """
+    lines = hashed_lines(eligible(payloads.where("text IS NOT NULL"))).withColumn("bucket", F.pmod(F.xxhash64("line_hash"), F.lit(BUCKETS)))
+    columns = ("scope", "bucket", "seq", "i", "line_hash", "failing")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long")))
+    forgets = payloads.where("text IS NULL").select("scope", each.alias("bucket"), "seq", F.lit(0).cast("long").alias("i"), F.lit("").alias("line_hash"), F.lit(False).alias("failing"))
+    return lines.select(*columns).unionByName(forgets).groupBy("scope", "bucket").applyInPandasWithState(_walk(ttl), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def counters_stream(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -44,14 +44,26 @@ def test_seen_lines(payloads):
     assert got == _seen(rows) and any(r[3] for r in got)
 
 
+def _streamed(spark, batches, tmp_path, **options):
+    """The rows that a stream of batches of payloads gives, a file each."""
+    ddl = "scope string, seq long, reader string, text string"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stream.seen_stream(source, **options).writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    return sorted((r.scope, r.seq, r.i, r.seen) for r in spark.table("seen").collect())
+
+
 def test_streamed_ledger(spark, payloads, tmp_path):
-    rows, df = payloads
-    for k in range(0, 60, 20):
-        df.where((F.col("seq") >= k) & (F.col("seq") < k + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    query = stream.seen_stream(source).writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted((r.scope, r.seq, r.i, r.seen) for r in spark.table("seen").collect()) == _seen(rows)
+    rows, _ = payloads
+    assert _streamed(spark, [rows[k : k + 20] for k in range(0, 60, 20)], tmp_path) == _seen(rows)
+
+
+def test_streamed_ledger_forgets(spark, tmp_path):
+    body = "\n".join(f"line {k} that is long enough to count for something" for k in range(8))
+    got = _streamed(spark, [[("a", 1, "r", body), ("b", 1, "r", body)], [("a", 2, "r", None)], [("a", 3, "r", body), ("b", 3, "r", body)], [("a", 4, "r", body)]], tmp_path)
+    assert {(s, q): {x[3] for x in got if x[:2] == (s, q)} for s, q in {x[:2] for x in got}} == {("a", 1): {False}, ("b", 1): {False}, ("a", 3): {False}, ("b", 3): {True}, ("a", 4): {True}}
 
 
 def test_streamed_counters(spark, tmp_path):
