@@ -96,16 +96,16 @@ def _last(values: Column) -> Column:
 def git_status(c: Column) -> Column:
     def body(own: Column) -> Column:
         headers = {"staged": "Changes to be committed", "modified": "Changes not staged for commit", "untracked": "Untracked files:"}
-        places = F.transform(own, lambda x, i: F.when(text.contains_any(x, headers.values()), i))
-        kinds = F.transform(own, lambda x, i: F.struct(x.alias("line"), F.try_element_at(own, F.array_max(F.filter(places, lambda p: p <= i)) + 1).alias("header")))
+        heads = F.filter(F.transform(own, lambda x, i: F.when(text.contains_any(x, headers.values()), i)), lambda i: i.isNotNull())
+        kinds = lambda h: F.transform(own, lambda x, i: F.struct(x.alias("line"), F.try_element_at(own, F.array_max(F.filter(h, lambda p: p <= i)) + 1).alias("header")))
 
-        def files(mark: str) -> Column:
-            rows = F.filter(kinds, lambda r: r["header"].contains(mark) & (r["line"].startswith("\t") | r["line"].startswith("  ")))
+        def files(lines: Column, mark: str) -> Column:
+            rows = F.filter(lines, lambda r: r["header"].contains(mark) & (r["line"].startswith("\t") | r["line"].startswith("  ")))
             names = F.transform(rows, lambda r: _trim(F.regexp_replace(_trim(r["line"]), "^(modified|new file|deleted|renamed):", "")))
             return F.filter(names, lambda n: (n != "") & ~n.startswith("(use"))
 
         branch = F.coalesce(F.try_element_at(F.filter(own, lambda x: x.startswith("On branch ")), F.lit(-1)), F.lit(""))
-        found = F.struct(*[files(mark).alias(name) for name, mark in headers.items()])
+        found = _let(_let(heads, kinds), lambda lines: F.struct(*[files(lines, mark).alias(name) for name, mark in headers.items()]))
 
         def said(f: Column) -> Column:
             head = _say("git: on ", _trim(F.replace(branch, F.lit("On branch "), F.lit(""))), " | staged:", F.size(f["staged"]), " mod:", F.size(f["modified"]), " untracked:", F.size(f["untracked"]))
@@ -551,12 +551,13 @@ def eslint(c: Column) -> Column:
         finds = lambda x: x.contains(" error ") | x.contains(" warning ")
 
         def found(r: Column) -> Column:
-            places = F.transform(r, lambda x, i: F.when(path(x), i))
-            above = lambda i: F.try_element_at(r, F.array_max(F.filter(places, lambda p: p <= i)) + 1)
+            heads = F.filter(F.transform(r, lambda x, i: F.when(path(x), i)), lambda i: i.isNotNull())
             inline = lambda x: F.regexp_extract(x, r"^([^:]*[/.\\][^:]*):", 1)
-            one = lambda x, i: F.when(finds(x) & (inline(x) != ""), F.struct(inline(x).alias("file"), F.get(_words(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), F.lit(0)).alias("at"), x.contains(" error ").alias("error"))).when(
-                x.rlike(_FINDING), F.struct(above(i).alias("file"), F.get(_words(x), F.lit(0)).alias("at"), x.contains(" error ").alias("error")))
-            return F.filter(F.transform(r, one), lambda p: p["file"].isNotNull() & p["at"].isNotNull())
+            above = lambda h, i: F.try_element_at(r, F.array_max(F.filter(h, lambda p: p <= i)) + 1)
+            one = lambda h, x, i: F.when(finds(x) & (inline(x) != ""), F.struct(inline(x).alias("file"), F.get(_words(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), F.lit(0)).alias("at"), x.contains(" error ").alias("error"))).when(
+                x.rlike(_FINDING), F.struct(above(h, i).alias("file"), F.get(_words(x), F.lit(0)).alias("at"), x.contains(" error ").alias("error")))
+            each = _let(heads, lambda h: F.transform(r, lambda x, i: one(h, x, i)))
+            return F.filter(each, lambda p: p["file"].isNotNull() & p["at"].isNotNull())
 
         def said(v: Column) -> Column:
             files = F.size(F.array_distinct(F.concat(F.filter(rows, path), F.filter(F.transform(rows, lambda x: F.when(finds(x), F.regexp_extract(x, r"^([^:]*[/.\\][^:]*):", 1))), lambda x: x != ""))))

@@ -158,9 +158,9 @@ _CHAIN_VALUES = ", ".join("(" + ", ".join([str(k), "'" + c.replace("'", "''") +
 def chain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of commands: the profile of the most specific one, who made the output, whether it must stay as it is."""
     command = F.element_at(F.array(*[F.lit(c[0]) for c in _CHAINS]), (F.col("event_id") % len(_CHAINS)).cast("int") + 1)
-    own = table(spark, sf_dir, "events").select(command.alias("command"))
-    rows = own.select("command", gates.chain_profile(F.col("command")).alias("p"), gates.producer_label(F.col("command")).alias("producer"), gates.passes_verbatim(F.col("command")).alias("verbatim"))
-    return rows.select("command", "p.segmentation", "p.collapse", "producer", "verbatim").groupBy("command", "segmentation", "collapse", "producer", "verbatim").agg(F.count("*").alias("n"))
+    own = table(spark, sf_dir, "events").groupBy(command.alias("command")).agg(F.count("*").alias("n"))  # rules are asked once for each distinct command
+    rows = own.select("command", "n", gates.chain_profile(F.col("command")).alias("p"), gates.producer_label(F.col("command")).alias("producer"), gates.passes_verbatim(F.col("command")).alias("verbatim"))
+    return rows.select("command", "p.segmentation", "p.collapse", "producer", "verbatim", "n")
 
 
 @query(f"""{_W}, o AS (SELECT *, lag(route) OVER w AS before, lag(filter_name) OVER w AS tool FROM (SELECT *, CASE WHEN id % 11 = 0 THEN 'git commit -m "' || filter_name || CASE WHEN id % 2 = 0 THEN ' instead' ELSE '' END || '"' ELSE command END AS said FROM history) WINDOW w AS (PARTITION BY session_id ORDER BY ts, id))

@@ -107,8 +107,8 @@ _VALUES = ", ".join("(" + str(k) + ", '" + c.replace("'", "''") + "', " + ", ".j
 def command_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A command for each event, and what the rule tables say of it."""
     command = F.element_at(F.array(*[F.lit(c) for c in _COMMANDS]), (F.col("event_id") % len(_COMMANDS)).cast("int") + 1)
-    own = table(spark, sf_dir, "events").select(command.alias("command"))
-    return own.select("command", rules.segmentation(F.col("command")).alias("segmentation"), rules.collapse_mode(F.col("command")).alias("collapse"), rules.summariser(F.col("command")).alias("summariser"), rules.command_family(F.col("command")).alias("family")).groupBy("command", "segmentation", "collapse", "summariser", "family").agg(F.count("*").alias("n"))
+    own = table(spark, sf_dir, "events").groupBy(command.alias("command")).agg(F.count("*").alias("n"))  # rules are asked once for each distinct command
+    return own.select("command", rules.segmentation(F.col("command")).alias("segmentation"), rules.collapse_mode(F.col("command")).alias("collapse"), rules.summariser(F.col("command")).alias("summariser"), rules.command_family(F.col("command")).alias("family"), "n")
 
 
 @query(f"""WITH {HISTORY_SQL}, r AS (SELECT project_path, round(count(*) FILTER (WHERE route = 'Rewind') / count(*) * (1 + (project_path > '/p/4')::INT * 2), 6) AS rate FROM history GROUP BY 1)
