@@ -3,7 +3,7 @@
 A candidate is a run of at least 16 letters, digits and `+/_=-` that holds a digit or an
 upper-case letter after its first character. The forest judges its length, the characters
 and their changes of kind, how much of it dictionary words cover, the path it was found in
-and the words before it. The forest is trained here, on the driver, from labelled findings
+and the words before it (of the text, other candidates included). The forest is trained here, on the driver, from labelled findings
 (by default those that labelled_findings() makes by rule; a caller may pass others), and its
 trees become one expression. A text is scanned in its own row: nothing is shuffled.
 
@@ -204,28 +204,13 @@ def _vote(tree, value) -> Column:
     return F.when(value(FEATURES[tree[0]]) <= tree[1], _vote(tree[2], value)).otherwise(_vote(tree[3], value))
 
 
-def pieces_of(text: Column) -> Column:
-    """The gaps of a text, each with the run after it."""
-    return F.zip_with(F.split(text, RUN), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda gap, run: F.concat(gap, F.coalesce(run, F.lit(""))))
-
-
-def candidates(text: Column, path: Column, forest: list, pieces: Column | None = None) -> Column:
+def candidates(text: Column, path: Column, forest: list) -> Column:
     """An array with a row for each run of a text: run, whether lively, votes of the trees.
 
-    The words before a run are those of its gap, as in the SQL; with `pieces` (those of the
-    text), those of the text, so that a long name before a value is seen.
+    The words before a run are the last BEFORE characters of the text, other runs included, so
+    that a long name before a value is seen. A text is split once, however many runs it has.
     """
-    gaps = F.split(text, RUN)
-    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-
-    def seen(run: Column, k: Column) -> Column:
-        before = F.element_at(gaps, k + 1)
-        if pieces is not None:
-            most = -(-BEFORE // 16)  # runs have 16 characters at least
-            before = F.concat(F.array_join(F.slice(pieces, F.greatest(k - most + 1, F.lit(1)), F.least(k, F.lit(most))), ""), before)
-        before = F.right(before, F.lit(BEFORE))
-        lively = run.rlike(LIVELY)
-        return F.struct(run.alias("run"), lively.alias("lively"), F.when(lively, F.struct(*[v.alias(c) for c, v in feature_columns(run, before, path).items()])).alias("f"))
+    most = -(-BEFORE // 16)  # runs have 16 characters at least
 
     def voted(x: Column) -> Column:
         total = F.lit(0)
@@ -233,7 +218,21 @@ def candidates(text: Column, path: Column, forest: list, pieces: Column | None =
             total = total + _vote(tree, lambda name: x["f"][name])
         return F.struct(x["run"].alias("run"), x["lively"].alias("lively"), F.when(x["lively"], total).otherwise(0).alias("votes"))
 
-    return F.transform(F.transform(runs, seen), voted)
+    def judged(own: Column) -> Column:
+        def seen(run: Column, k: Column) -> Column:
+            near = F.array_join(F.slice(own["pieces"], F.greatest(k - most + 1, F.lit(1)), F.least(k, F.lit(most))), "")
+            before = F.right(F.concat(near, F.element_at(own["gaps"], k + 1)), F.lit(BEFORE))
+            lively = run.rlike(LIVELY)
+            return F.struct(run.alias("run"), lively.alias("lively"), F.when(lively, F.struct(*[v.alias(c) for c, v in feature_columns(run, before, path).items()])).alias("f"))
+
+        return F.transform(F.transform(own["runs"], seen), voted)
+
+    def pieced(own: Column) -> Column:
+        pieces = F.zip_with(own["gaps"], own["runs"], lambda gap, run: F.concat(gap, F.coalesce(run, F.lit(""))))
+        return F.transform(F.array(F.struct(own["gaps"].alias("gaps"), own["runs"].alias("runs"), pieces.alias("pieces"))), judged)[0]
+
+    split = F.struct(F.split(text, RUN).alias("gaps"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("runs"))
+    return F.transform(F.array(split), pieced)[0]
 
 
 def scan(docs: DataFrame, forest: list | None = None, text: str = "text", path: str = "source", found: str = "_found") -> DataFrame:
@@ -260,8 +259,7 @@ def redact(docs: DataFrame, forest: list | None = None, text: str = "text", path
     forest = default_forest() if forest is None else forest
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(path), F.lit("")).alias("path"))
-    rows = rows.withColumn("pieces", pieces_of(F.col("text")))
-    rows = rows.withColumn("found", candidates(F.col("text"), F.col("path"), forest, F.col("pieces")))
+    rows = rows.withColumn("found", candidates(F.col("text"), F.col("path"), forest))
     return rows.select(*[redacted(F.col("text"), F.col("found"), len(forest)).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns])
 
 
@@ -297,7 +295,7 @@ WITH split AS (
 ), each AS (
   SELECT doc_id, path, gaps, runs, unnest(range(1, len(gaps) + 1)) AS k FROM split
 ), found AS (
-  SELECT doc_id, k, gaps[k] AS gap, runs[k] AS run, path, lower(right(gaps[k], {BEFORE})) AS near FROM each
+  SELECT doc_id, k, gaps[k] AS gap, runs[k] AS run, path, lower(right(array_to_string(list_transform(range(greatest(1, k - {-(-BEFORE // 16)}), k), lambda j: gaps[j] || runs[j]), '') || gaps[k], {BEFORE})) AS near FROM each
 ), features AS (
   SELECT doc_id, k, gap, run, regexp_matches(run, '{LIVELY}') AS lively, length(run) AS length,
     length(run) - {left("run", "[0-9]")} AS digits, length(run) - {left("run", "[A-Z]")} AS uppers, length(run) - {left("run", "[a-z]")} AS lowers,

@@ -86,6 +86,8 @@ def test_masks_after_long_names(make):
     texts = [f"words aws_secret_access_key = {value} end", f"github_access_token: {value}", f"x_commit_checksum_of_it {value}", f"{'a' * 20} {'b' * 20} {'c' * 20} github_access_token: {value}"]
     got = {r.doc_id: r.text for r in secret_scan.redact(make([(k, t, "en", "src1") for k, t in enumerate(texts)])).collect()}
     assert [got[k] for k in range(4)] == [texts[2] if k == 2 else t.replace(value, "[SECRET]") for k, t in enumerate(texts)]
+    counted = {r.doc_id: r.n_secrets for r in secret_scan.digest(make([(k, t, "en", "src1") for k, t in enumerate(texts)])).collect()}
+    assert counted == {0: 1, 1: 1, 2: 0, 3: 1}
 
 
 def test_recall_of_planted_secrets(spark, make):
