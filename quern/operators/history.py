@@ -72,8 +72,8 @@ def collapse_aggregate(h: DataFrame) -> DataFrame:
 
 
 def first_of_equal(h: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
-    """The row of the least `order` among those equal in keys: a minimum, not a sort of every group."""
-    return h.join(h.groupBy(*keys).agg(F.min(order).alias(order)).select(order), order, "left_semi")
+    """keys and the least `order` of the rows that are equal in keys: one aggregate, which keeps no row twice."""
+    return h.groupBy(*keys).agg(F.min(order).alias(order))
 
 
 def latest(h: DataFrame, n: int, session: str | None = None) -> DataFrame:

@@ -119,6 +119,26 @@ def pattern_memory(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.substring(F.sha2(norm, 256), 1, 16).alias("pattern_hash")).agg(F.count("*").alias("occurrences"), F.min("i").alias("first_i"), F.max("i").alias("last_i"))
 
 
+def resolved_patterns(failures: DataFrame, successes: DataFrame, window: int = 3600) -> DataFrame:
+    """pattern, family, occurrences, first_seen, last_seen, resolved, hint of failures (pattern, family, ts) and successes (family, ts, id, hint).
+
+    A failure that comes again isn't resolved, whatever came between; the first success of its
+    family within the window after its last occurrence resolves it. The next success is found by
+    a window over both kinds of rows, without an interval join.
+    """
+    known = failures.groupBy("pattern").agg(F.min_by("family", "ts").alias("family"), F.count("*").alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    own = known.select("family", F.col("last_seen").alias("ts"), F.struct("pattern", "occurrences", "first_seen").alias("own"), F.lit(None).cast("struct<ts:bigint,id:bigint,hint:string>").alias("success"))
+    done = successes.select("family", "ts", F.lit(None).cast(own.schema["own"].dataType).alias("own"), F.struct("ts", "id", "hint").alias("success"))
+    along = Window.partitionBy("family").orderBy("ts").rangeBetween(1, window - 1)
+    met = own.unionByName(done).withColumn("next", F.min("success").over(along)).where("own IS NOT NULL")
+    return met.select("own.pattern", "family", "own.occurrences", "own.first_seen", F.col("ts").alias("last_seen"), F.col("next").isNotNull().alias("resolved"), F.coalesce("next.hint", F.lit("")).alias("hint"))
+
+
+def top_insights(patterns: DataFrame, most: int = 10, least: int = 2) -> DataFrame:
+    """Patterns that came again, the latest first."""
+    return patterns.where(F.col("occurrences") >= least).orderBy(F.desc("last_seen"), "pattern").limit(most)
+
+
 def noise_mining(lines: DataFrame, least: int = 3, per_trace: int = 16, traces: int = 2, most: int = 5) -> DataFrame:
     """Prefixes of three words that repeat in a trace, in at least `traces` of them: prefix, count, n_traces."""
     clean = F.regexp_replace(F.regexp_replace("line", "\u001b\\[[0-?]*[ -/]*[@-~]", ""), "[0-9]+", "#")

@@ -57,9 +57,12 @@ def rewind_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.rewind_metrics(history(spark, sf_dir).where("rewind_hash <> ''").groupBy("rewind_hash").agg((F.count("*") - 1).alias("retrieved")))
 
 
-@query(f"{_W} SELECT id, session_id, command FROM (SELECT *, row_number() OVER (PARTITION BY session_id, command, route ORDER BY id) AS r FROM history) WHERE r = 1")
+@query(f"{_W} SELECT id, session_id, command FROM history")
 def dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.first_of_equal(history(spark, sf_dir), ["session_id", "command", "route"]).select("id", "session_id", "command")
+    """Rows equal in all but their number and how long they took: a third of the history, written twice, comes out once."""
+    h = history(spark, sf_dir)
+    again = h.where("id % 3 = 0").withColumn("id", F.col("id") + 10**12).withColumn("latency_ms", F.col("latency_ms") + 1)
+    return H.first_of_equal(h.unionByName(again), [c for c in h.columns if c not in ("id", "latency_ms")]).select("id", "session_id", "command")
 
 
 @query(f"{_W} SELECT id, session_id, ts, command, route FROM history ORDER BY ts DESC, id DESC LIMIT 50")

@@ -9,11 +9,13 @@ from quern import constants as K
 from quern.functions import checks, text
 from quern.operators import gates, reports
 from quern.operators import history as H
+from quern.operators import lines as L
 from quern.operators import memory as M
 from quern.plans.catalog import query
 from quern.plans.history_queries import _OK, NOW
+from quern.plans.line_queries import TIERED
 from quern.sources import envelopes as E
-from quern.sources.views import ARCHIVE_SQL, HISTORY_SQL, PASSED_SQL, PULLS_SQL, archive, history, passthroughs, pulls, table
+from quern.sources.views import ARCHIVE_SQL, HISTORY_SQL, LOG_SQL, PASSED_SQL, PULLS_SQL, archive, history, log_lines, passthroughs, pulls, table
 
 _W = f"WITH {HISTORY_SQL}"
 
@@ -217,3 +219,16 @@ def host_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a host without a shape of its own reads back: the result of a JSON reply."""
     own = archive(spark, sf_dir).withColumn("reply", gates.host_reply(F.lit(None).cast("string"), F.col("content"), F.lit(0)))
     return own.select("hash", F.lit("plain").alias("host"), F.octet_length(F.get_json_object("reply", "$.result")).cast("long").alias("n_bytes"))
+
+
+@query(f"{_W}, f AS (SELECT session_id, id, command AS error, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) AS place FROM history WHERE filter_name = 'error') SELECT * FROM f WHERE place <= {K.MAX_ERRORS}")
+def session_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = history(spark, sf_dir).select("session_id", "ts", "id", F.when(F.col("filter_name") == "error", F.col("command")).otherwise("").alias("error"))
+    return reports.failures(own).select("session_id", "id", "error", "place")
+
+
+@query(f"WITH {LOG_SQL}, {TIERED} SELECT doc_id, round(sum(CASE tier WHEN 'Critical' THEN 0.9::DOUBLE WHEN 'Important' THEN 0.7::DOUBLE WHEN 'Context' THEN 0.4::DOUBLE ELSE 0.05::DOUBLE END), 4) AS score FROM lifted GROUP BY 1")
+def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of a log's line scores by their tiers."""
+    own = L.boosted(L.classified(log_lines(spark, sf_dir)))
+    return own.groupBy("doc_id").agg(F.round(F.sum(reports.line_score(F.col("tier"), F.lit(0.0))), 4).alias("score"))

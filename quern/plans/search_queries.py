@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import rules, text
@@ -66,14 +66,27 @@ def frequent_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir).where("rewind_hash <> ''").groupBy("command").agg(F.count("*").alias("n")).where("n >= 10").orderBy(F.desc("n"), "command").limit(5)
 
 
-@query(f"""WITH {HISTORY_SQL}, p AS (SELECT filter_name AS family, ts AS last_seen FROM history WHERE route = 'Rewind'), s AS (SELECT filter_name AS family, ts FROM history WHERE route = 'Keep')
-SELECT family, last_seen, EXISTS (SELECT 1 FROM s WHERE s.family = p.family AND s.ts > p.last_seen AND s.ts <= p.last_seen + 3600) AS resolved FROM p""")
+_PATTERNS = f"""WITH {HISTORY_SQL}, f AS (SELECT 'error in ' || command || ' of ' || session_id AS pattern, filter_name AS family, ts FROM history WHERE route = 'Rewind'), s AS (SELECT filter_name AS family, ts, id, command AS hint FROM history WHERE route = 'Keep'),
+k AS (SELECT pattern, arg_min(family, ts) AS family, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen FROM f GROUP BY 1),
+p AS (SELECT k.*, (SELECT arg_min(s.hint, row(s.ts, s.id)) FROM s WHERE s.family = k.family AND s.ts > k.last_seen AND s.ts < k.last_seen + 3600) AS hint FROM k)"""
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = history(spark, sf_dir)
+    said = F.concat(F.lit("error in "), "command", F.lit(" of "), "session_id")
+    failures = h.where("route = 'Rewind'").select(said.alias("pattern"), F.col("filter_name").alias("family"), "ts")
+    return search.resolved_patterns(failures, h.where("route = 'Keep'").select(F.col("filter_name").alias("family"), "ts", "id", F.col("command").alias("hint")))
+
+
+@query(f"{_PATTERNS} SELECT pattern, family, occurrences, first_seen, last_seen, hint IS NOT NULL AS resolved, coalesce(hint, '') AS hint FROM p")
 def resolve_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures that a success of their family follows within an hour: the next success by window, no interval join."""
-    h = history(spark, sf_dir).where(F.col("route").isin("Rewind", "Keep"))
-    along = Window.partitionBy("filter_name").orderBy("ts").rangeBetween(1, 3600)
-    hit = F.count(F.when(F.col("route") == "Keep", 1)).over(along) > 0
-    return h.withColumn("resolved", hit).where("route = 'Rewind'").select(F.col("filter_name").alias("family"), F.col("ts").alias("last_seen"), "resolved")
+    """Failures of each session that a success of their family follows within an hour."""
+    return _patterns(spark, sf_dir)
+
+
+@query(f"{_PATTERNS} SELECT pattern, occurrences, last_seen, hint IS NOT NULL AS resolved FROM p WHERE occurrences >= 2 ORDER BY last_seen DESC, pattern LIMIT 10")
+def top_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_insights(_patterns(spark, sf_dir)).select("pattern", "occurrences", "last_seen", "resolved")
 
 
 @query(f"WITH {HISTORY_SQL} SELECT filter_name AS tool, count(*) AS total, count(*) FILTER (WHERE route <> 'Rewind') AS ok, count(*) FILTER (WHERE route = 'Rewind') AS err, arg_min(route, row(ts, id)) AS last_status FROM history GROUP BY 1")
@@ -135,7 +148,7 @@ def q_warnings_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(parse("Warnings from VIEW"), history(spark, sf_dir), archive(spark, sf_dir))
 
 
-@query(f"""WITH {HISTORY_SQL}, {ARCHIVE_SQL}, t AS (SELECT * FROM archive WHERE content ILIKE '%src/file\_7.%' ESCAPE '\' ORDER BY ts DESC, hash LIMIT 20), o AS (SELECT *, list_filter(string_split(content, chr(10)), lambda x: contains(x, 'src/file_7.')) AS own FROM t)
+@query(f"""WITH {HISTORY_SQL}, {ARCHIVE_SQL}, t AS (SELECT * FROM archive WHERE contains(lower(content), 'src/file_7.') ORDER BY ts DESC, hash LIMIT 20), o AS (SELECT *, list_filter(string_split(content, chr(10)), lambda x: contains(x, 'src/file_7.')) AS own FROM t)
 SELECT hash, ts, (SELECT arg_min(command, row(h.ts, h.id)) FROM history h WHERE h.rewind_hash = o.hash) AS command, len(own) AS matches, array_to_string(own, chr(10)) AS lines FROM o WHERE len(own) > 0""")
 def q_context_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(parse("context for src/file_7."), history(spark, sf_dir), archive(spark, sf_dir))
