@@ -19,7 +19,6 @@ row with the same score. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
