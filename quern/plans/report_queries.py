@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern import constants as K
 from quern.functions import checks, text
-from quern.operators import gates, reports
+from quern.operators import gates, reports, routing
 from quern.operators import history as H
 from quern.operators import lines as L
 from quern.operators import memory as M
@@ -103,9 +103,7 @@ def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_W}, {PASSED_SQL} SELECT id, command, reason FROM passed WHERE reason IS NOT NULL ORDER BY id DESC LIMIT 15")
 def recent_passthroughs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.operators.routing import passthrough_reason
-
-    own = passthroughs(spark, sf_dir).withColumn("reason", passthrough_reason(*[F.col(c) for c in ("recovery", "structured", "capped", "guardrail", "fidelity")]))
+    own = passthroughs(spark, sf_dir).withColumn("reason", routing.passthrough_reason(*[F.col(c) for c in ("recovery", "structured", "capped", "guardrail", "fidelity")]))
     return reports.newest(own.where("reason IS NOT NULL").select("id", "command", "reason"), 15, "id")
 
 
