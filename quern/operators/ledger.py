@@ -52,8 +52,9 @@ def seen_lines(payloads: DataFrame) -> DataFrame:
 def runs(seen: DataFrame) -> DataFrame:
     """Maximal rows of seen lines with one source: scope, seq, run, source, first_line, last_line, n_lines, run_bytes, payload_bytes, seen_bytes, body."""
     along = Window.partitionBy("scope", "seq").orderBy("i")
-    differs = (F.col("seen") != F.lag("seen").over(along)) | ~F.col("source").eqNullSafe(F.lag("source").over(along))
-    marked = seen.withColumn("change", F.coalesce(differs.cast("long"), F.lit(0)))
+    # What lag() gives for a payload's first line is no line: it opens run 0, whatever its source.
+    differs = (F.col("i") > 1) & ((F.col("seen") != F.lag("seen").over(along)) | ~F.col("source").eqNullSafe(F.lag("source").over(along)))
+    marked = seen.withColumn("change", differs.cast("long"))
     marked = marked.withColumn("run", F.sum("change").over(along)).withColumn("seen_bytes", F.sum(F.when(F.col("seen"), F.col("bytes")).otherwise(0)).over(Window.partitionBy("scope", "seq")))
     rows = marked.where("seen").groupBy("scope", "seq", "run").agg(
         F.first("source").alias("source"), F.min("i").alias("first_line"), F.max("i").alias("last_line"), F.count("*").alias("n_lines"), F.sum("bytes").alias("run_bytes"),

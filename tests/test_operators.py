@@ -94,6 +94,15 @@ def test_folds(payloads):
         assert r.last_line - r.first_line + 1 == r.n_lines == r.body.count("\n") + 1
 
 
+def test_runs_that_open_a_payload(spark):
+    """A payload's first line opens run 0, whether another command showed it first or its own did."""
+    shown, own = [f"shared line number {k} " + "x" * 300 for k in range(2)], "own line " + "y" * 300
+    rows = [("s", 1, "a", "\n".join(shown)), ("s", 2, "b", "\n".join([*shown, own, shown[0]])), ("s", 3, "a", "\n".join([shown[0], own]))]
+    df = spark.createDataFrame(rows, "scope string, seq long, reader string, text string")
+    got = sorted((r.seq, r.run, r.source or "", r.first_line, r.last_line) for r in ledger.runs(ledger.seen_lines(df)).collect())
+    assert got == [(2, 0, "a", 1, 2), (2, 2, "a", 4, 4), (3, 0, "", 1, 1), (3, 1, "b", 2, 2)]
+
+
 def _line_key(line):
     return hashlib.sha256(line.strip().encode()).hexdigest()[:16]
 
