@@ -106,6 +106,16 @@ def test_word_ids_are_what_the_library_gives(tokenizer, text):
     assert list(struct.unpack(f"<{len(own) // 4}I", own)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_memory_is_bounded(tokenizer):
+    """A worker that meets ever new words holds a bounded number of them, and encodes as before once it has dropped them."""
+    own = packing.WordIds(WORDS)
+    first = own(["some words, that come again"])
+    for at in range(0, 400_000, 20_000):
+        own([" ".join(f"{chr(97 + k % 26)}{k}" for k in range(at, at + 20_000))])
+        assert len(own.known) <= 330_000 and len(own.parts) <= 330_000
+    assert own(["some words, that come again"]) == first
+
+
 def _check_packing(rows, pieces, tokenizer, window=2048):
     """Each id in one piece, windows gapless from 0 and within the window."""
     want = sorted((str(d), tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for d, t in rows)
