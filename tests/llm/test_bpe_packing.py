@@ -110,9 +110,9 @@ def test_word_memory_is_bounded(tokenizer):
     """A worker that meets ever new words holds a bounded number of them, and encodes as before once it has dropped them."""
     own = packing.WordIds(WORDS)
     first = own(["some words, that come again"])
-    for at in range(0, 400_000, 20_000):
-        own([" ".join(f"{chr(97 + k % 26)}{k}" for k in range(at, at + 20_000))])
-        assert len(own.known) <= 330_000 and len(own.parts) <= 330_000
+    for at in range(0, 760_000, 40_000):
+        own([" ".join(f"{chr(97 + k % 26)}{k}" for k in range(at, at + 40_000))])
+        assert len(own.known) <= 660_000 and len(own.parts) <= 660_000
     assert own(["some words, that come again"]) == first
 
 
